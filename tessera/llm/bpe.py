@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -24,7 +25,7 @@ from tokenizers import Tokenizer
 from tessera.llm.common import in_slices
 
 #: Words that a worker remembers with their ids; the oldest half goes when it is full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 #: Longer words are encoded each time, so that the memory of the memo is bounded.
 MEMO_CHARS = 48
 
@@ -101,10 +102,10 @@ class Bpe:
         self.strings.update({i: s for s, i in self.special.items()})
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.has_special = regex.compile("|".join(map(regex.escape, self.special))).search if self.special else lambda _: None
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # pair of symbols -> rank and joined symbol
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             key = self.vocab[a] << 32 | self.vocab[b]
-            self.pairs[key] = (rank, self.vocab[a + b])
+            self.pairs[key] = rank << 32 | self.vocab[a + b]
         self.alphabet = byte_alphabet()
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         # The two patterns are fixed values of the two public tokenizers.
@@ -120,7 +121,7 @@ class Bpe:
             self.byte_decoder = {i: bytes(self.byte_of[c] for c in s) if i not in self.special.values() else s.encode() for i, s in self.strings.items()}
         self.first = [self.vocab.get(c) for c in self.alphabet]
         self.last = [self.vocab.get(c + self.suffix) for c in self.alphabet]
-        self.memo = Memo(lambda word: np.array(self.merge(self.symbols(word)), "<u4").tobytes())
+        self.memo = Memo(lambda word: array("I", self.merge(self.symbols(word))).tobytes())
 
     def symbols(self, word: str) -> list[int]:
         """A word's bytes as vocabulary ids; the last carries the end-of-word suffix."""
@@ -129,39 +130,40 @@ class Bpe:
         return [i for i in ids if i is not None]
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply merges in the order of (rank, position) until none is left."""
+        """Apply merges in the order of (rank, position) until none is left. An entry of the queue is one
+        integer: rank, joined symbol and position."""
         n = len(ids)
         if n < 2:
             return ids
-        ids, pairs = list(ids), self.pairs
+        ids, find = list(ids), self.pairs.get
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         queue = []
         for i in range(n - 1):
-            found = pairs.get(ids[i] << 32 | ids[i + 1])
-            if found:
-                queue.append((found[0], i, found[1]))
+            found = find(ids[i] << 32 | ids[i + 1])
+            if found is not None:
+                queue.append(found << 32 | i)
         heapify(queue)
         while queue:
-            _, i, joined = heappop(queue)
+            top = heappop(queue)
+            i = top & 0xFFFFFFFF
             j = after[i]
-            if j < 0 or ids[i] < 0:
-                continue  # stale: a symbol of the pair is gone
-            found = pairs.get(ids[i] << 32 | ids[j])
-            if not found or found[1] != joined:
-                continue  # stale: the pair has changed
-            ids[i], ids[j] = joined, -1
+            # Stale entries are skipped: a symbol of the pair is gone, or the pair has changed.
+            if j < 0 or find(ids[i] << 32 | ids[j]) != top >> 32:
+                continue
+            joined = ids[i] = top >> 32 & 0xFFFFFFFF
+            ids[j] = -1
             k = after[i] = after[j]
             after[j] = -1
             if k >= 0:
                 before[k] = i
-                found = pairs.get(joined << 32 | ids[k])
-                if found:
-                    heappush(queue, (found[0], i, found[1]))
+                found = find(joined << 32 | ids[k])
+                if found is not None:
+                    heappush(queue, found << 32 | i)
             h = before[i]
             if h >= 0:
-                found = pairs.get(ids[h] << 32 | joined)
-                if found:
-                    heappush(queue, (found[0], h, found[1]))
+                found = find(ids[h] << 32 | joined)
+                if found is not None:
+                    heappush(queue, found << 32 | h)
         return [i for i in ids if i >= 0]
 
     def normalize(self, text: str) -> str:
