@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import Memo
+from tessera.llm.bpe import Bpe
 from tessera.llm.common import slices, written
-from tessera.llm.token_counts import counter
 
 WINDOW = 1024
 END = 0
@@ -31,12 +34,22 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 24
 VOCABULARY = 1 << 16
 
 
-def encoded(text: str, machine, memo) -> np.ndarray:
-    """A document's ids and the end id, as the tokenizer gives them."""
-    coder = machine.coder
-    parts = coder.split_special(text) if coder.has_special(text) else [text]
-    raw = b"".join(np.uint32(coder.special[p]).tobytes() if i % 2 else b"".join(map(memo.__getitem__, coder.words(p))) for i, p in enumerate(parts))
-    return np.frombuffer(raw + np.uint32(END).tobytes(), "<u4")
+@cache
+def encoder(path: str) -> tuple[tiktoken.Encoding, Bpe]:
+    """A compiled encoder for the byte-level vocabulary of a tokenizer.json. Its tokens are merged in the order of
+    their ids, so these must follow the order of the merges."""
+    coder = Bpe(path)
+    if coder.byte_decoder is None or any((a & 0xFFFFFFFF) >= (b & 0xFFFFFFFF) for a, b in pairwise(coder.pairs.values())):
+        raise ValueError("a byte-level vocabulary with ids in the order of its merges is needed")
+    ranks = {raw: i for i, raw in coder.byte_decoder.items() if i not in coder.special.values()}
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=coder.special), coder
+
+
+def encoded(text: str, path: str) -> np.ndarray:
+    """A document's ids, strings of special tokens among them, and the end id."""
+    plain, coder = encoder(path)
+    specials = set(coder.special) if coder.has_special(text) else set()
+    return np.append(plain.encode_to_numpy(text, allowed_special=specials, disallowed_special=()), np.uint32(END)).astype("<u4")
 
 
 def crc(ids: np.ndarray) -> int:
@@ -49,13 +62,11 @@ def tokenized(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Data
     full window, and one more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = counter(tokenizer)
-        memo, before = Memo(lambda word: np.array(machine.encode(word), "<u4").tobytes()), 0
+        before = 0
         for rows in slices(batches, 256):
-            memo.trim()
             tokens, full, tails, places = [], [], [], []
             for text in rows.column(1).to_pylist():
-                ids = encoded(text or "", machine, memo)
+                ids = encoded(text or "", tokenizer)
                 cut = len(ids) // WINDOW * WINDOW
                 tokens.append(len(ids))
                 full.append([crc(ids[i : i + WINDOW]) for i in range(0, cut, WINDOW)])
