@@ -6,9 +6,9 @@ place (a substitution), or one of them equals the other without one character. E
 line emits its variants as hashed keys, equal keys are joined, the earliest line of a key is the
 witness, and the edit distance to the witness is verified.
 
-A line has as many variants as characters, so two cheap steps come first, which lose no pair: equal
-lines are merged, and lines go on only if they share one half with another line of nearly equal
-length: one edit leaves one of two halves as it is.
+A line has as many variants as characters, so cheap steps come first, which lose no pair: equal
+lines are merged, and lines go on only if they agree with another line of nearly equal
+length outside one block: one edit leaves one of two halves, and then 15 of 16 blocks, as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from tessera.llm.quality import let
 MIN_CHARS = 20
 #: Hashes are cut to so many bits, so that sums over a line of up to 2^23 characters fit a long.
 SUM_BITS = 40
+#: Into so many blocks lines are cut, first all lines, then those that go on.
+BLOCKS = (2, 16)
+GAP, CUT, WHOLE = 0, 1, 2
 
 
 def short_hash(*columns: Column) -> Column:
@@ -35,24 +38,31 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return exploded.where(F.length("line") >= min_chars)
 
 
-def half_keys(line: Column, n: Column) -> Column:
-    """Keys of the halves that one edit leaves: for the lengths n and n - 1 of the shorter line of a pair, its
-    first half from the front, its second half from the back."""
+def block_keys(line: Column, n: Column, blocks: int) -> Column:
+    """Keys of what one edit leaves of a line: for the lengths n and n - 1 of the shorter line of a pair, and each of
+    its blocks that may hold the edit, all before the block from the front, all after it from the back."""
 
-    def of(shorter: Column) -> list[Column]:
-        half = F.floor(shorter / 2).cast("int")
-        rest = shorter - half
-        return [F.xxhash64(F.lit("front"), shorter, F.substring(line, F.lit(1), half)), F.xxhash64(F.lit("back"), shorter, F.substring(line, n - rest + 1, rest))]
+    def key(shorter: Column, b: int) -> Column:
+        before, end = F.floor(shorter * b / blocks).cast("int"), F.floor(shorter * (b + 1) / blocks).cast("int")
+        rest = shorter - end
+        return F.xxhash64(F.lit(b), shorter, F.substring(line, F.lit(1), before), F.substring(line, n - rest + 1, rest))
 
-    return F.array(*of(n), *of(n - 1))
+    return F.array_distinct(F.array(*[key(m, b) for m in (n, n - 1) for b in range(blocks)]))
+
+
+def sharing(keyed: DataFrame) -> DataFrame:
+    """(first) of the lines (columns first, keys) that share a key with another line."""
+    spread = keyed.select("first", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    return spread.join(shared, "key", "left_semi").select("first").distinct()
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(first, n, kind, size, place, key): the deletion neighbourhood of each line (columns first, line, n).
+    """(first, kind, key): the deletion neighbourhood of each line (columns first, line, n).
 
-    kind `whole` is the line itself, `cut` the line without one character, with its length and the key; `gap` the same,
-    with the place of the character as well. A key is the sum of hashes of (character,
-    place) over the variant, so running sums give all of a line's keys at once.
+    WHOLE is the line itself, CUT the line without one character, keyed by length and content; GAP the same,
+    keyed by the place of the character as well. Content is hashed as the sum of hashes of (character,
+    place), so running sums give all of a line's keys at once.
     """
     chars = lines.select("first", "n", F.posexplode(F.split("line", "")).alias("at", "char")).where("at < n")
     inside = Window.partitionBy("first").orderBy("at")
@@ -67,12 +77,10 @@ def variants(lines: DataFrame) -> DataFrame:
         (F.sum(moved).over(whole) - F.sum(moved).over(upto)).alias("right"),
         F.sum(own).over(whole).alias("all"),
     )
-    kinds = F.array(
-        F.struct(F.lit("gap").alias("kind"), F.col("n").alias("size"), F.col("at").alias("place"), (F.col("left") + F.col("right")).alias("key")),
-        F.struct(F.lit("cut").alias("kind"), (F.col("n") - 1).alias("size"), F.lit(-1).alias("place"), (F.col("left") + F.col("right")).alias("key")),
-        F.when(F.col("at") == 0, F.struct(F.lit("whole").alias("kind"), F.col("n").alias("size"), F.lit(-1).alias("place"), F.col("all").alias("key"))),
-    )
-    return rows.select("first", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("v")).select("first", "v.*").distinct()
+    cut, whole = F.xxhash64(F.col("n") - 1, F.col("left") + F.col("right")), F.xxhash64("n", "all")
+    gap = F.xxhash64("n", "at", F.col("left") + F.col("right"))
+    kinds = F.array(*[F.struct(F.lit(kind).cast("byte").alias("kind"), key.alias("key")) for kind, key in ((GAP, gap), (CUT, cut), (WHOLE, F.when(F.col("at") == 0, whole)))])
+    return rows.select("first", F.explode(F.filter(kinds, lambda k: k["key"].isNotNull())).alias("v")).select("first", "v.*")
 
 
 def witnesses(keyed: DataFrame) -> DataFrame:
@@ -81,12 +89,10 @@ def witnesses(keyed: DataFrame) -> DataFrame:
     Only minima of each key are kept, so a key that very many lines share makes no pairs: all lines of a gap are
     within one edit of each other; a cut is within one edit of the whole line it equals.
     """
-    by_key = keyed.groupBy("size", "place", "key").agg(
-        F.min(F.when(F.col("kind") == "gap", F.col("first"))).alias("gap"), F.min(F.when(F.col("kind") == "cut", F.col("first"))).alias("cut"),
-        F.min(F.when(F.col("kind") == "whole", F.col("first"))).alias("whole"), F.count("*").alias("members"),
-    ).where("members > 1")
-    other = F.when(F.col("kind") == "gap", F.col("gap")).when(F.col("kind") == "cut", F.col("whole")).otherwise(F.col("cut"))
-    found = keyed.join(by_key, ["size", "place", "key"]).withColumn("witness", other).where("witness < first")
+    least = [F.min(F.when(F.col("kind") == kind, F.col("first"))).alias(name) for kind, name in ((GAP, "gap"), (CUT, "cut"), (WHOLE, "whole"))]
+    by_key = keyed.groupBy("key").agg(*least, F.count("*").alias("members")).where("members > 1")
+    other = F.when(F.col("kind") == GAP, F.col("gap")).when(F.col("kind") == CUT, F.col("whole")).otherwise(F.col("cut"))
+    found = keyed.join(by_key, "key").withColumn("witness", other).where("witness < first")
     return found.select("first", "witness").distinct()
 
 
@@ -94,18 +100,17 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc, line_no) of the lines to drop."""
     lines = lines_of(df, id_col, text_col, min_chars)
     n = F.length("line")
-    narrow = lines.select("doc", "line_no", n.alias("n"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), half_keys(F.col("line"), n).alias("halves"))
+    narrow = lines.select("doc", "line_no", n.alias("n"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), block_keys(F.col("line"), n, BLOCKS[0]).alias("keys"))
     distinct = written(
-        narrow.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "lines"
+        narrow.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "lines"
     )
-    # Lines that share a half with another one.
-    spread = distinct.select("first", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = spread.groupBy("half").agg(F.count("*").alias("members")).where("members > 1").select("half")
-    near = written(spread.join(shared, "half", "left_semi").select("first.doc", "first.line_no").distinct(), "near-lines")
+    near = written(sharing(distinct).select("first.doc", "first.line_no"), "near-lines")
     some = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(near.select("doc").distinct(), "doc", "left_semi")
     texts = lines_of(some, "doc", "text", min_chars).join(near, ["doc", "line_no"], "left_semi").dropDuplicates(["doc", "line_no"])
     texts = written(texts.select(F.struct("doc", "line_no").alias("first"), "line", F.length("line").alias("n")), "line-texts")
-    found = witnesses(written(variants(texts), "variants"))
+    close = sharing(texts.select("first", block_keys(F.col("line"), F.col("n"), BLOCKS[1]).alias("keys")))
+    texts = written(texts.join(close, "first", "left_semi"), "close-lines")
+    found = witnesses(variants(texts))
     proved = (
         found.join(texts.select("first", "line"), "first")
         .join(texts.select(F.col("first").alias("witness"), F.col("line").alias("earlier")), "witness")
