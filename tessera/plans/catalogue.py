@@ -229,10 +229,10 @@ def segment_chunks(spark, d):
     return tile_chunks_of(spark, d).where("tile_row between 2 and 3").select("chunk_id").distinct()
 
 
-@query(f"WITH {CHUNKS} SELECT DISTINCT chunk_id FROM tc WHERE tile_row = 3 AND tile_col < 4 EXCEPT SELECT chunk_id FROM tc WHERE tile_row = 2 AND tile_col < 2")
+@query(f"WITH {CELLS}, tc AS (SELECT DISTINCT tile_row, tile_col, point_id // 20 AS chunk_id FROM cells) SELECT chunk_id FROM tc WHERE tile_row = 3 EXCEPT SELECT chunk_id FROM tc WHERE tile_row = 2")
 def unseen_chunks(spark, d):
-    tc = tile_chunks_of(spark, d)
-    return tc.where("tile_row = 3 and tile_col < 4").select("chunk_id").distinct().join(tc.where("tile_row = 2 and tile_col < 2").select("chunk_id"), "chunk_id", "left_anti")
+    tc = order_cells(spark, d).select("tile_row", grid.chunk_id(20).alias("chunk_id")).distinct()
+    return tc.where("tile_row = 3").select("chunk_id").join(tc.where("tile_row = 2").select("chunk_id"), "chunk_id", "left_anti")
 
 
 @query(f"WITH {CHUNKS}, c AS (SELECT DISTINCT chunk_id FROM tc WHERE tile_row = 3 AND tile_col = 4), i AS (SELECT chunk_id, chunk_id - row_number() OVER (ORDER BY chunk_id) AS island FROM c) SELECT min(chunk_id) AS start, count(*) AS length FROM i GROUP BY island")
