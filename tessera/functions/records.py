@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The published colour ramps, from low to high, as 0xRRGGBB.
+RAMPS = {
+    "Grayscale": [0x000000, 0xFFFFFF],
+    "Elevation1": [0xAFF0E9, 0xFFFFB3, 0x008040, 0xFCBA03, 0x800000, 0x69300D, 0xABABAB, 0xFFFCFF],
+    "Elevation2": [0x76DBD3, 0xFFFFC7, 0xFFFFC7, 0xFFFF80, 0xD9C279, 0x876026, 0x9696B5, 0xB596B5, 0x19FCFF],
+    "BareEarth": [0xFFFF80, 0xF2A72E, 0x6B0000],
+    "FullSpectrum": [0xFF0000, 0xFFFF00, 0x00FFFF, 0x0000FF],
+    "PartialSpectrum": [0x734D2A, 0x9C6930, 0xC98934, 0xE8C174, 0xFFFFBF, 0xAD95BA, 0x5B3FB0, 0x592787, 0x510D61],
+}
+
+
+def ramp_stops(name: str, reverse: bool = False) -> list[tuple[int, int, int]]:
+    """The red, green and blue stops of a published ramp, for `ramp`."""
+    stops = [(c >> 16, c >> 8 & 255, c & 255) for c in RAMPS[name]]
+    return stops[::-1] if reverse else stops
+
 
 def return_bits(options: Column) -> list[Column]:
     """The fields of the return byte: number, count, scan direction, edge of the flight line."""

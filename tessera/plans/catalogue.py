@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import quantize, records
 from tessera.operators import grid, surface
+from tessera.sources import las, xyz
 from tessera.sources import points as src
+from tessera.sources.scratch import scratch
+from tessera.streaming.density import stream_density
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -326,8 +329,8 @@ def interval_map(spark, d):
 STOPS = [(0, 0, 128), (0, 160, 64), (255, 255, 0), (255, 0, 0)]
 
 
-def ramp_sql(c: int) -> str:
-    values = ", ".join(str(s[c]) for s in STOPS)
+def ramp_sql(c: int, stops: list = STOPS) -> str:
+    values = ", ".join(str(s[c]) for s in stops)
     return f"CAST(trunc([{values}][k + 1] + (p - k) * ([{values}][k + 2] - [{values}][k + 1])) AS INTEGER)"
 
 
@@ -475,3 +478,57 @@ def full_scan(spark, d):
 @query(f"WITH {CHUNKS}, k AS (SELECT point_id // {CHUNK} AS chunk_id, count(*) AS n FROM pts GROUP BY 1) SELECT max(n) AS most FROM k")
 def chunk_maximum(spark, d):
     return src.orders(spark, d).groupBy(grid.chunk_id(CHUNK).alias("chunk_id")).count().agg(F.max("count").alias("most"))
+
+
+def preset_sql(name: str, reverse: bool) -> str:
+    stops = records.ramp_stops(name, reverse)
+    parts = len(stops) - 1
+    return f"""SELECT point_id, '{name}' AS ramp, {ramp_sql(0, stops)} * 65536 + {ramp_sql(1, stops)} * 256 + {ramp_sql(2, stops)} AS rgb FROM
+  (SELECT point_id, p, least(CAST(floor(p) AS INTEGER), {parts - 1}) AS k FROM (SELECT point_id, least(greatest((y + 1000) / 11000.0::DOUBLE, 0), 1) * {parts} AS p FROM pts))"""
+
+
+PRESETS = [(name, name == "Elevation2") for name in records.RAMPS]
+
+
+@query(f"WITH {CUST} " + " UNION ALL ".join(preset_sql(*p) for p in PRESETS))
+def ramp_presets(spark, d):
+    """All published ramps, one of them reversed."""
+    ramps = F.array(*[F.struct(F.lit(n).alias("ramp"), records.ramp((F.col("y") + 1000) / 11000.0, records.ramp_stops(n, r)).alias("rgb")) for n, r in PRESETS])
+    return src.customers(spark, d).select("point_id", F.explode(ramps).alias("v")).select("point_id", "v.*")
+
+
+@query(f"WITH {PTS} SELECT point_id, qx, qy, qz, x, round(qy * 0.01::DOUBLE, 2) AS y, z FROM pts")
+def las_roundtrip(spark, d):
+    """Points written as LAS files and read again; the id travels as the time of the point."""
+    folder = scratch(spark, "las")
+    pts = src.orders(spark, d).withColumn("gps_time", F.col("point_id").cast("double"))
+    las.write_las(pts, folder, src.Quantization((1.0, 0.01, 1.0))).write.format("noop").mode("overwrite").save()
+    back = las.read_las(spark, folder)
+    return back.select(F.col("gps_time").cast("bigint").alias("point_id"), *[F.col(c).cast("bigint").alias(c) for c in ("qx", "qy", "qz")], "x", F.round("y", 2).alias("y"), "z")
+
+
+@query(f"WITH {PTS} SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM pts")
+def las_headers(spark, d):
+    """The merged headers of written LAS files: counts are summed, extents united."""
+    folder = scratch(spark, "las-headers")
+    pts = src.orders(spark, d).withColumn("gps_time", F.lit(None).cast("double"))
+    las.write_las(pts, folder, src.Quantization((1.0, 0.01, 1.0))).write.format("noop").mode("overwrite").save()
+    low, high = (lambda i: F.min(F.get("min_xyz", F.lit(i)))), (lambda i: F.max(F.get("max_xyz", F.lit(i))))
+    return las.headers(spark, folder).agg(F.sum("n_points").alias("n"), low(0).alias("min_x"), high(0).alias("max_x"), low(2).alias("min_z"), high(2).alias("max_z"))
+
+
+@query(f"WITH {CUST} SELECT x, round(y, 2) AS y, z FROM pts")
+def xyz_parse(spark, d):
+    path = scratch(spark, "xyz")
+    xyz.write_xyz(src.customers(spark, d), path)
+    return xyz.read_xyz(spark, path)
+
+
+@query(f"WITH {DENSITY} SELECT tile_row, tile_col, n, min_qz, max_qz FROM dens")
+def streamed_density(spark, d):
+    """The density of tiles over a stream of files of points, some files a batch."""
+    folder = scratch(spark, "stream")
+    src.orders(spark, d).write.parquet(f"{folder}/points")
+    pts = spark.read.parquet(f"{folder}/points")
+    stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/points")
+    return stream_density(stream, grid.grid(pts, *CELL), f"{folder}/state")
