@@ -42,9 +42,11 @@ def parsed(raw: bytes, path: str) -> dict:
     if raw[:4] != b"LASF" or len(raw) < 227:
         raise ValueError(f"{path} is no LAS file")
     f = struct.unpack(HEADER_FORMAT, raw.ljust(HEADER_SIZE, b"\0"))
+    if f[13] & 0xC0:
+        raise ValueError(f"{path} is compressed")
     box = f[27:33]
     return {
-        "path": path, "version": f"{f[4]}.{f[5]}", "point_format": f[13] & 63, "record_length": f[14], "data_offset": f[11],
+        "path": path, "version": f"{f[4]}.{f[5]}", "point_format": f[13], "record_length": f[14], "data_offset": f[11],
         "n_points": f[36] if (f[4], f[5]) >= (1, 4) and f[36] else f[15], "scale": list(f[21:24]), "offset": list(f[24:27]), "min_xyz": list(box[1::2]), "max_xyz": list(box[0::2]),
     }
 
@@ -64,7 +66,8 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_las(spark: SparkSession, folder: str) -> DataFrame:
-    """The points of all .las files of a folder, uncompressed formats; gps_time is null where a format has none."""
+    """The points of all .las files of a folder, uncompressed formats. gps_time is null where a format
+    has none; of formats 6 and up, gps_time, options and class_bits are null, as their bytes lie elsewhere."""
     ranges = headers(spark, folder).where("n_points > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_points") - 1, F.lit(RANGE).cast("bigint"))))
     wanted = ranges.select("path", "point_format", "record_length", "data_offset", "n_points", "scale", "offset", "start").repartition("path", "start")
 
@@ -82,9 +85,10 @@ def read_las(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError(f"{r['path']} ends before its last point")
                 real = [rows[f"q{a}"] * s + o for a, s, o in zip("xyz", r["scale"], r["offset"], strict=True)]
                 whole = [np.ascontiguousarray(rows[c]).astype(np.int32) for c in ("qx", "qy", "qz", "intensity", "options", "class_bits")]
+                packed = r["point_format"] < 6
                 time = pa.array(np.ascontiguousarray(rows["gps_time"])) if timed else pa.nulls(n, pa.float64())
                 index = np.arange(r["start"], r["start"] + n)
-                columns = [pa.array([r["path"]] * n), *map(pa.array, (index, *real, *whole)), time]
+                columns = [pa.array([r["path"]] * n), *map(pa.array, (index, *real, *whole[:4])), *(pa.array(w) if packed else pa.nulls(n, pa.int32()) for w in whole[4:]), time]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POINTS.split(", ")])
 
     return wanted.mapInArrow(run, POINTS)

@@ -39,6 +39,20 @@ def test_broken_las_is_an_error(spark, tmp_path):
         las.headers(spark, f"file://{tmp_path}").collect()
 
 
+def test_compressed_and_newer_formats(spark, tmp_path):
+    rows = np.zeros(2, las.RECORD_TIME)
+    rows["qx"], rows["options"] = (4, 5), 9
+    head = bytearray(las.header_of(rows, Quantization()))
+    head[104] = 6
+    (tmp_path / "new.las").write_bytes(bytes(head) + rows.tobytes())
+    got = las.read_las(spark, f"file://{tmp_path}").orderBy("point_index").collect()
+    assert [(r.qx, r.options, r.class_bits, r.gps_time) for r in got] == [(4, None, None, None), (5, None, None, None)]
+    head[104] = 0x81
+    (tmp_path / "new.las").write_bytes(bytes(head) + rows.tobytes())
+    with pytest.raises(Exception, match="compressed"):
+        las.headers(spark, f"file://{tmp_path}").collect()
+
+
 def test_no_points_write_no_file(spark, tmp_path):
     none = spark.sql("select int(1) qx, int(1) qy, int(1) qz, 1d gps_time where false")
     assert las.write_las(none, f"file://{tmp_path}/x", Quantization()).collect() == []
