@@ -98,29 +98,46 @@ def strongest(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("a", "b", "s")
 
 
-def both_ways(graph: DataFrame, salt: int) -> DataFrame:
-    """(centre, member): neighbours of each node, and up to REVERSE nodes that have it as a neighbour."""
+def neighbourhoods(graph: DataFrame, salt: int) -> DataFrame:
+    """(centre, members): neighbours of each node, and up to REVERSE nodes that have it as a neighbour."""
     w = Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(salt)))
     back = graph.withColumn("place", F.row_number().over(w)).where(F.col("place") <= REVERSE)
-    return graph.select(F.col("a").alias("centre"), F.col("b").alias("member")).union(back.select(F.col("b").alias("centre"), F.col("a").alias("member"))).distinct()
+    met = graph.select(F.col("a").alias("centre"), F.col("b").alias("member")).union(back.select(F.col("b").alias("centre"), F.col("a").alias("member")))
+    return met.groupBy("centre").agg(F.sort_array(F.collect_set("member")).alias("members"))
 
 
 def block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
-def round_of_descent(graph: DataFrame, vectors: DataFrame, blocks: int, dims: int, salt: int) -> DataFrame:
+def serve(key: tuple, requests: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """What the blocks ask of a home's nodes, one row for each block: ids, vectors, and worst scores, packed."""
+    held = held.sort_values("node")
+    ids, v, worst = held["node"].to_numpy(), held["v"].to_numpy(), held["worst"].to_numpy(np.float32)
+    places = [np.searchsorted(ids, np.sort(nodes)) for nodes in requests["nodes"]]
+    return pd.DataFrame({
+        "block": requests["block"].to_numpy(), "nodes": [ids[at].tobytes() for at in places],
+        "v": [b"".join(v[at]) for at in places], "worst": [worst[at].tobytes() for at in places],
+    })
+
+
+def round_of_descent(graph: DataFrame, placed: DataFrame, blocks: int, dims: int, salt: int) -> DataFrame:
     """One round: the members of each neighbourhood meet; each member reports its best acquaintances
-    that beat the worst of its present neighbours. The new graph, written."""
-    met = both_ways(graph, salt).withColumn("block", block_of("centre", blocks))
-    lists = met.groupBy("block", "centre").agg(F.sort_array(F.collect_list("member")).alias("members"))
-    worst = graph.groupBy("a").agg(F.when(F.count("*") >= K, F.min("s")).alias("worst"))
-    known = vectors.select("node", "v").join(worst, F.col("node") == F.col("a"), "left").select("node", "v", F.coalesce("worst", F.lit(-9.0).cast("float")).alias("worst"))
-    needed = met.select(F.col("block").alias("home"), F.col("member").alias("node")).distinct().join(known, "node")
+    that beat the worst of its present neighbours. The new graph, written.
 
-    def meet(key: tuple, centres: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values("node")
-        ids, v, floor = members["node"].to_numpy(), matrix(members["v"].to_list(), dims), members["worst"].to_numpy()
+    Vectors travel from the homes of nodes to blocks of centres, all that a block needs of a home in one
+    row; a block needs at most K + REVERSE of them for each centre, and each once."""
+    lists = neighbourhoods(graph, salt).withColumn("block", block_of("centre", blocks))
+    worst = graph.groupBy("a").agg(F.when(F.count("*") >= K, F.min("s")).alias("worst"))
+    known = placed.join(worst, F.col("node") == F.col("a"), "left").select("home", "node", "v", F.coalesce("worst", F.lit(-9.0).cast("float")).alias("worst"))
+    asked = lists.select("block", F.explode("members").alias("node"))
+    requests = asked.groupBy(block_of("node", blocks).alias("home"), "block").agg(F.collect_set("node").alias("nodes"))
+    parts = requests.groupBy("home").cogroup(known.groupBy("home")).applyInPandas(serve, "block int, nodes binary, v binary, worst binary")
+
+    def meet(key: tuple, centres: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        ids, floor = (np.frombuffer(b"".join(parts[name]), kind) for name, kind in (("nodes", np.int64), ("worst", np.float32)))
+        order = np.argsort(ids)
+        ids, floor, v = ids[order], floor[order], np.frombuffer(b"".join(parts["v"]), np.float16).reshape(len(ids), dims)[order].astype(np.float32)
         a, b, s = [], [], []
         for group in centres["members"]:
             at = np.searchsorted(ids, np.asarray(group))
@@ -138,31 +155,28 @@ def round_of_descent(graph: DataFrame, vectors: DataFrame, blocks: int, dims: in
         _, once = np.unique(a.astype(np.int64) * len(ids) + b, return_index=True)
         return pd.DataFrame({"a": ids[a[once].astype(np.int64)], "b": ids[b[once].astype(np.int64)], "s": s[once].astype(np.float32)})
 
-    news = lists.groupBy("block").cogroup(needed.groupBy("home")).applyInPandas(meet, "a long, b long, s float")
+    news = lists.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(meet, "a long, b long, s float")
     new = written(strongest(graph.union(news), K), "graph")
     forget(graph.sparkSession)
     return new
 
 
-def build(vectors: DataFrame, nodes: int, dims: int) -> DataFrame:
+def build(vectors: DataFrame, placed: DataFrame, blocks: int, nodes: int, dims: int) -> DataFrame:
     """The graph: (a, b, s), up to K rows for each node."""
-    blocks = max(1, -(-nodes // BLOCK))
     starts = first_edges(vectors, "code1", nodes, dims).union(first_edges(vectors, "code2", nodes, dims))
     graph = written(strongest(starts, K), "graph")
     for number in range(ROUNDS if nodes > TILE else 0):
-        graph = round_of_descent(graph, vectors, blocks, dims, number)
+        graph = round_of_descent(graph, placed, blocks, dims, number)
     return graph
 
 
-def walk(graph: DataFrame, vectors: DataFrame, starts: DataFrame, nodes: int, dims: int) -> DataFrame:
+def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, dims: int) -> DataFrame:
     """(query, w, s): the beam of each query (a node) after HOPS rounds of greedy search from its own node.
 
     A round expands the EXPAND best nodes of the beam that haven't been expanded; what hasn't been seen is
     scored, block by block of the nodes' ids, and the BEAM best stay."""
-    blocks = max(1, -(-nodes // BLOCK))
-    near = written(both_ways(graph, -1).groupBy("centre").agg(F.collect_list("member").alias("members")), "near")
-    placed = written(vectors.select("node", "v", block_of("node", blocks).alias("home")), "placed")
-    asked = written(starts.join(vectors, F.col("query") == F.col("node")).select("query", F.col("v").alias("q")), "asked")
+    near = written(neighbourhoods(graph, -1), "near")
+    asked = written(starts.join(placed, F.col("query") == F.col("node")).select("query", F.col("v").alias("q")), "asked")
     # Seen nodes: those of the beam and all that have been scored (kept with their round).
     beam = starts.select("query", F.col("query").alias("w"), F.lit(9.0).cast("float").alias("s"), F.lit(False).alias("expanded"))
     seen = starts.select("query", F.col("query").alias("w"))
@@ -224,8 +238,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     members = owner.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).select("vec_id", "node")
     asking = owner.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     starts = written(asking.select("query").distinct(), "starts")
-    graph = build(vectors, nodes, dims)
-    found = walk(graph, vectors, starts, nodes, dims)
+    blocks = max(1, -(-nodes // BLOCK))
+    placed = written(vectors.select("node", "v", block_of("node", blocks).alias("home")), "placed")
+    graph = build(vectors, placed, blocks, nodes, dims)
+    found = walk(graph, placed, starts, blocks, dims)
     # Half precision can turn near ties: twice k nodes and a margin are scored again.
     close = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "w"))).where(F.col("place") <= 2 * k + 10)
     exact = (
