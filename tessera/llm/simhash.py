@@ -25,17 +25,24 @@ BITS = 64
 TILE = 4096
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """The majority bits of the XXH64 of all word shingles of a text, as a signed 64-bit integer."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
+    """The XXH64 of each word shingle of a text, in order; a shorter text is one shingle."""
     parts = text.encode().lower().split()  # on bytes: A-Z only, and blanks are \x20 \x09-\x0D
     if not parts:
-        return 0
+        return []
     line = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(parts)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], seed) for a, b in zip(starts[: len(parts) - span].tolist(), ends[span:].tolist(), strict=True)]
+    return [digest(line[a:b], seed) for a, b in zip(starts[: len(parts) - span].tolist(), ends[span:].tolist(), strict=True)]
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """The majority bits of the XXH64 of all word shingles of a text, as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, words, seed)
+    if not hashes:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 8192):
         raw = np.array(hashes[i : i + 8192], "<u8").view(np.uint8).reshape(-1, 8)
@@ -174,7 +181,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of df without near-duplicates: of each component, the row with the smallest id. If
     that id occurs in several rows, one of them stays. Rows with a null id all stay."""
-    found = near_duplicates(df, id_col, text_col, words, radius)
+    return smallest(df, near_duplicates(df, id_col, text_col, words, radius), id_col)
+
+
+def smallest(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id is that of their component in `found` (id, component_id), one for each, and
+    those with a null id."""
     kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("tessera_kept_id"))
     chosen = df.join(kept, F.col(id_col) == F.col("tessera_kept_id"), "left_semi").dropDuplicates([id_col])
     return chosen.unionByName(df.where(F.col(id_col).isNull()))
