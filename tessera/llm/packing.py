@@ -1,10 +1,11 @@
 """Operator 10: packing documents into training sequences by lexical retrieval.
 
-A document's full windows are sequences of their own; what is left, its tail, is packed. Tails are dealt to
-shards of bounded size. In each shard an inverted index of the tails with BM25 weights returns, for
-the one that opens a window, its nearest tails that haven't been used; they fill the window in
-that order. The last one is cut, and its rest opens the next window, so windows have no gaps. Document
-frequencies and the mean length are those of all tails of the corpus.
+A document's full windows are sequences of their own; what is left, its tail, is packed. Documents are dealt to
+shards of bounded size. In each shard an inverted index of the
+documents with BM25 weights returns, for the one that opens a window, its nearest ones whose tails haven't been used;
+they fill the window in that order. The last one is cut, and its rest opens the next window, so windows have no gaps.
+Terms, lengths and queries are those of whole documents; document frequencies and the mean length those of all
+documents of the corpus.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WINDOW = 1024
 END = 0
 #: Tails in a shard of the index, about.
 SHARD = 4096
-#: BM25, and the number of a document's heaviest terms that make its query.
+#: BM25, and the number of a document's heaviest terms that are asked for first.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 VOCABULARY = 1 << 16
 
@@ -58,88 +59,99 @@ def crc(ids: np.ndarray) -> int:
 
 def tokenized(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
     """For each row: doc_id, doc_tokens, the checksums of its full windows, the tail's ids as 16-bit
-    integers, and `before`: how many numbers the earlier rows of its task take (one for each
-    full window, and one more)."""
+    integers, `before`: how many numbers the earlier rows of its task take (one for each
+    full window, and one more), and the distinct ids of the whole document with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for rows in slices(batches, 256):
-            tokens, full, tails, places = [], [], [], []
+            tokens, full, tails, places, terms, counts = [], [], [], [], [], []
             for text in rows.column(1).to_pylist():
                 ids = encoded(text or "", tokenizer)
                 cut = len(ids) // WINDOW * WINDOW
                 tokens.append(len(ids))
                 full.append([crc(ids[i : i + WINDOW]) for i in range(0, cut, WINDOW)])
                 tails.append(ids[cut:].astype("<u2").tobytes())
+                found, often = np.unique(ids.astype("<u2"), return_counts=True)
+                terms.append(found.tobytes())
+                counts.append(often.astype("<u4").tobytes())
                 places.append(before)
                 before += len(full[-1]) + 1
             yield pa.record_batch(
-                [rows.column(0), pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(places, pa.int64())],
-                ["doc_id", "doc_tokens", "full", "tail", "before"],
+                [rows.column(0), pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(places, pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                ["doc_id", "doc_tokens", "full", "tail", "before", "terms", "counts"],
             )
 
     chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, tail binary, before long")
+    return chosen.mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, tail binary, before long, terms binary, counts binary")
 
 
 def document_frequencies(rows: DataFrame) -> np.ndarray:
-    """In how many tails each id of the vocabulary occurs, over all rows: each task sums
+    """In how many documents each id of the vocabulary occurs, over all rows: each task sums
     a vector as long as the vocabulary; their sums, one row for each id, come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                sums[np.unique(np.frombuffer(raw, "<u2"))] += 1
+                sums[np.frombuffer(raw, "<u2")] += 1
         at = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["term", "n"])
 
     out = np.zeros(VOCABULARY, np.int64)
-    for r in rows.select("tail").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out
 
 
+def weights(often: np.ndarray, length: np.ndarray | int, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 weights of terms that occur so often in documents of these lengths."""
+    norm = K1 * (1 - B + B * length / max(mean_length, 1))
+    return (idf * often * (K1 + 1) / (often + norm)).astype(np.float32)
+
+
 class Index:
-    """An inverted index of one shard: for each term its documents and their BM25 weights."""
+    """An inverted index of one shard: for each term its documents and their BM25 weights. Documents are given by
+    their ids, or by their distinct terms and counts."""
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        counted = [np.unique(t, return_counts=True) for t in tails]
-        terms, lengths = [t for t, _ in counted], np.array([len(t) for t in tails])
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean_length: float, counted: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        counted = counted or [np.unique(t, return_counts=True) for t in texts]
+        terms, lengths = [t for t, _ in counted], np.array([n.sum() for _, n in counted])
         sizes = np.array([len(t) for t in terms], np.int64)
         term, often = np.concatenate(terms).astype(np.int64), np.concatenate([n for _, n in counted]).astype(np.float32)
         doc = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
-        norm = (K1 * (1 - B + B * lengths / max(mean_length, 1))).astype(np.float32)
-        weight = idf[term] * often * (K1 + 1) / (often + norm[doc])
+        weight = weights(often, lengths[doc], idf[term], mean_length)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.queries = []
-        for i in range(len(terms)):
-            a, b = bounds[i], bounds[i + 1]
-            k = min(QUERY_TERMS, b - a)
-            self.queries.append(term[a:b][np.argpartition(-weight[a:b], k - 1)[:k]] if k else term[a:a])
+        self.queries = [term[a:b][np.argsort(-weight[a:b], kind="stable")].astype(np.uint16) for a, b in pairwise(bounds)]
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.scores = np.zeros(len(terms), np.float32)
 
     def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """The unused documents that share a query term with the seed, nearest first; ties in the order of rows."""
+        """The unused documents that share a term with the seed, nearest first; ties in the order of rows. The seed's
+        heaviest terms come first; when no unused document has any of them, twice as many follow, and so on."""
         scores = self.scores
         scores[:] = 0
-        for t in self.queries[seed]:
-            a, b = self.starts[t], self.starts[t + 1]
-            scores[self.docs[a:b]] += self.weights[a:b]
-        found = np.flatnonzero((scores > 0) & unused)
-        width = 32
-        while len(found):
-            if len(found) > width:
-                top = np.argpartition(-scores[found], width - 1)[:width]
-                head = found[top]
-            else:
-                top, head = None, found
-            yield from head[np.lexsort((head, -scores[head]))].tolist()
-            found = np.delete(found, top) if top is not None else found[:0]
-            width *= 2
+        given = np.zeros(len(scores), bool)
+        query, done, terms = self.queries[seed], 0, QUERY_TERMS
+        while done < len(query):
+            for t in query[done : done + terms]:
+                a, b = self.starts[t], self.starts[int(t) + 1]
+                scores[self.docs[a:b]] += self.weights[a:b]
+            done, terms = done + terms, 2 * terms
+            found = np.flatnonzero((scores > 0) & unused & ~given)
+            width = 32
+            while len(found):
+                if len(found) > width:
+                    top = np.argpartition(-scores[found], width - 1)[:width]
+                    head = found[top]
+                else:
+                    top, head = None, found
+                given[head] = True
+                yield from head[np.lexsort((head, -scores[head]))].tolist()
+                found = np.delete(found, top) if top is not None else found[:0]
+                width *= 2
 
 
 def fill(rows: pd.DataFrame, idf: np.ndarray, mean_length: float) -> pd.DataFrame:
@@ -147,7 +159,8 @@ def fill(rows: pd.DataFrame, idf: np.ndarray, mean_length: float) -> pd.DataFram
     piece opens the sequence."""
     rows = rows.sort_values("row", ignore_index=True)
     tails = [np.frombuffer(t, "<u2") for t in rows["tail"]]
-    index = Index(tails, idf, mean_length)
+    counted = [(np.frombuffer(t, "<u2"), np.frombuffer(n, "<u4")) for t, n in zip(rows["terms"], rows["counts"], strict=True)]
+    index = Index(tails, idf, mean_length, counted)
     unused = np.ones(len(rows), bool)
     names, start_of = rows["row"].to_numpy(), (rows["doc_tokens"] - [len(t) for t in tails]).to_numpy()
     out: list[tuple] = []
@@ -209,13 +222,12 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     that its tail opens, if it does.
     """
     rows = written(tokenized(df, tokenizer, id_col, text_col).withColumn("part", F.spark_partition_id()), "tokenized")
-    facts = rows.where(F.length("tail") > 0).agg(F.count("*").alias("n"), F.avg(F.length("tail") / 2).alias("mean")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.avg("doc_tokens").alias("mean"), F.count_if(F.length("tail") > 0).alias("tails")).first()
     numbered = numbering(rows)
     whole = numbered.select("doc_id", "doc_tokens", "row", F.posexplode("full").alias("window", "ids_crc32")).select(
         "doc_id", (F.col("window") * WINDOW).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (F.col("row") + F.col("window")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    shards = max(1, -(-facts.n // SHARD))
     often = document_frequencies(rows)
     idf = np.log1p((facts.n - often + 0.5) / (often + 0.5)).astype(np.float32)
     mean = float(facts.mean or 1)
@@ -223,8 +235,9 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def shard(pieces: pd.DataFrame) -> pd.DataFrame:
         return fill(pieces, idf, mean)
 
+    shards = max(1, -(-facts.tails // SHARD))
     tails = numbered.where(F.length("tail") > 0).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    made = tails.select("shard", "row", "doc_tokens", "tail").groupBy("shard").applyInPandas(shard, "row long, start long, length long, ids_crc32 long, lead long, offset long")
+    made = tails.select("shard", "row", "doc_tokens", "tail", "terms", "counts").groupBy("shard").applyInPandas(shard, "row long, start long, length long, ids_crc32 long, lead long, offset long")
     owners = numbered.select("row", "doc_id", "doc_tokens", F.size("full").alias("windows"))
     leads = owners.select(F.col("row").alias("lead"), (F.col("row") + F.col("windows")).alias("sequence_id"))
     rest = made.join(owners.drop("windows"), "row").join(leads, "lead").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

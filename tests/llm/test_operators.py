@@ -375,3 +375,26 @@ def test_packing_prefers_near_documents():
     index = packing.Index(tails, np.ones(packing.VOCABULARY, np.float32), 301.0)
     near = list(index.ranked(0, np.arange(40) != 0))
     assert all(i % 4 == 0 for i in near[:9])
+
+
+def test_packing_knows_whole_documents(spark):
+    """What comes before the tail counts, and what isn't among the heaviest terms."""
+    words = [[f" {a}{b}" for b in ("tion", "ing", "ment", "ness", "able")] for a in ("Nation", "Bread", "Paint", "Glass", "Motor", "River")]
+    rng = random.Random(8)
+    made = []
+    for i in range(24):
+        body = [rng.choice(words[i % 6]) for _ in range(1500)]
+        made.append((i, "".join(body) + " the end" * 60))
+    source = packing.tokenized(spark.createDataFrame(made, "doc_id long, text string"), BYTE, "doc_id", "text")
+    rows = source.collect()
+    lib = Tokenizer.from_file(BYTE)
+    for r in rows:
+        want = Counter(lib.encode(made[r.doc_id][1], add_special_tokens=False).ids) + Counter([0])
+        assert dict(zip(np.frombuffer(r.terms, "<u2").tolist(), np.frombuffer(r.counts, "<u4").tolist())) == want
+    often = packing.document_frequencies(source)
+    assert often.max() == 24 and all(often[t] > 0 for r in rows for t in np.frombuffer(r.terms, "<u2"))
+    # A seed with 60 terms; the only document near it shares its lightest one.
+    idf = np.ones(packing.VOCABULARY, np.float32)
+    idf[59] = 0.5
+    index = packing.Index([np.arange(60), np.arange(100, 160), np.array([59, 300])], idf, 60.0)
+    assert list(index.ranked(0, np.array([False, True, True]))) == [2]
