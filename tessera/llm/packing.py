@@ -1,7 +1,7 @@
 """Operator 10: packing documents into training sequences by lexical retrieval.
 
 A document's full windows are sequences of their own; what is left, its tail, is packed. Documents are dealt to
-shards of bounded size. In each shard an inverted index of the
+shards of bounded size by lexical closeness: a tree over their BM25 vectors. In each shard an inverted index of the
 documents with BM25 weights returns, for the one that opens a window, its nearest ones whose tails haven't been used;
 they fill the window in that order. The last one is cut, and its rest opens the next window, so windows have no gaps.
 Terms, lengths and queries are those of whole documents; document frequencies and the mean length those of all
@@ -32,6 +32,8 @@ END = 0
 SHARD = 4096
 #: BM25, and the number of a document's heaviest terms that are asked for first.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: Vectors that the tree of shards is grown on, about, and their coordinates.
+SAMPLE, DIMENSIONS = 16_000, 256
 VOCABULARY = 1 << 16
 
 
@@ -154,6 +156,103 @@ class Index:
                 width *= 2
 
 
+@cache
+def directions() -> np.ndarray:
+    """A random direction for each term; sums of them keep the angles between documents, about."""
+    return np.random.default_rng(11).standard_normal((VOCABULARY, DIMENSIONS), np.float32)
+
+
+def placed(terms: bytes, counts: bytes, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """A document's BM25 weights as a short vector of length 1."""
+    term, often = np.frombuffer(terms, "<u2"), np.frombuffer(counts, "<u4")
+    v = weights(often, often.sum(), idf[term], mean_length) @ directions()[term]
+    return v / max(float(np.linalg.norm(v)), 1e-9)
+
+
+class Tree:
+    """Cells of lexically near documents, of about SHARD at most, from a sample of their vectors.
+
+    A cell is divided between its two centres (of 2-means), at the widest gap of the sample near its middle, so
+    groups that lie close stay together. A cell of equal vectors can't be divided so: its documents are all alike
+    and are dealt by their rows."""
+
+    def __init__(self, sample: np.ndarray, documents: int):
+        self.nodes: list[tuple] = []  # (direction, threshold, child below, child above), or (parts, first shard)
+        self.shards = 0
+        self.grow(sample.astype(np.float32), documents / max(1, len(sample)))
+
+    def grow(self, v: np.ndarray, each: float) -> int:
+        at = len(self.nodes)
+        self.nodes.append(())
+        cut = self.cut(v) if len(v) * each > 0.75 * SHARD and len(v) > 3 else None
+        if cut is None:
+            parts = -(-int(len(v) * each) // SHARD) if len(v) * each > 4 * SHARD else 1
+            self.nodes[at] = (parts, self.shards)
+            self.shards += parts
+        else:
+            direction, threshold = cut
+            above = v @ direction > threshold
+            self.nodes[at] = (direction, threshold, self.grow(v[~above], each), self.grow(v[above], each))
+        return at
+
+    @staticmethod
+    def cut(v: np.ndarray) -> tuple[np.ndarray, float] | None:
+        one = v[np.argmin(v @ v.mean(0))]  # lengths are 1: the farthest has the smallest product
+        two = v[np.argmin(v @ one)]
+        for _ in range(10):
+            above = v @ (two - one) > (two @ two - one @ one) / 2
+            if above.all() or not above.any():
+                break
+            one, two = v[~above].mean(0), v[above].mean(0)
+        along = np.sort(v @ (two - one))
+        if along[-1] - along[0] < 1e-5:
+            return None
+        # The widest gap between the quarters; where all of that is equal, the widest of all.
+        for low, high in ((len(v) // 4, len(v) - len(v) // 4), (0, len(v))):
+            gaps = np.diff(along[low:high])
+            if len(gaps) and gaps.max() > 1e-6:
+                i = low + int(gaps.argmax())
+                return two - one, float((along[i] + along[i + 1]) / 2)
+        return None
+
+    def shard(self, v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v), np.int64)
+        todo = [(0, np.arange(len(v)))]
+        while todo:
+            at, which = todo.pop()
+            node = self.nodes[at]
+            if len(node) == 2:
+                out[which] = node[1] + rows[which] % node[0]
+            elif len(which):
+                above = v[which] @ node[0] > node[1]
+                todo += [(node[2], which[~above]), (node[3], which[above])]
+        return out
+
+
+def dealt(tails: DataFrame, documents: int, idf: np.ndarray, mean_length: float) -> DataFrame:
+    """tails (row, doc_tokens, tail, terms, counts) with `shard`: that of a tree grown on a sample of
+    at most about SAMPLE vectors, which come to the driver."""
+    if documents <= SHARD:
+        return tails.withColumn("shard", F.lit(0).cast("long"))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            v = [placed(t, n, idf, mean_length).astype(np.float16).tobytes() for t, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([rows.column(2), pa.array(v, pa.binary())], ["row", "v"])
+
+    share = -(-documents // SAMPLE)
+    some = tails.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("terms", "counts", "row").mapInArrow(vectors, "row long, v binary").collect()
+    sample = np.array([np.frombuffer(r.v, np.float16) for r in sorted(some)]).reshape(-1, DIMENSIONS)
+    tree = Tree(sample, documents)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            v = np.array([placed(t, n, idf, mean_length) for t, n in zip(rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True)])
+            yield rows.append_column("shard", pa.array(tree.shard(v.reshape(-1, DIMENSIONS), rows.column("row").to_numpy())))
+
+    return tails.mapInArrow(deal, "row long, doc_tokens long, tail binary, terms binary, counts binary, shard long")
+
+
 def fill(rows: pd.DataFrame, idf: np.ndarray, mean_length: float) -> pd.DataFrame:
     """The pieces of one shard's tails (row, start, length, ids_crc32, lead, offset); lead is the row whose
     piece opens the sequence."""
@@ -235,9 +334,8 @@ def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def shard(pieces: pd.DataFrame) -> pd.DataFrame:
         return fill(pieces, idf, mean)
 
-    shards = max(1, -(-facts.tails // SHARD))
-    tails = numbered.where(F.length("tail") > 0).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    made = tails.select("shard", "row", "doc_tokens", "tail", "terms", "counts").groupBy("shard").applyInPandas(shard, "row long, start long, length long, ids_crc32 long, lead long, offset long")
+    tails = numbered.where(F.length("tail") > 0).select("row", "doc_tokens", "tail", "terms", "counts")
+    made = dealt(tails, facts.tails, idf, mean).groupBy("shard").applyInPandas(shard, "row long, start long, length long, ids_crc32 long, lead long, offset long")
     owners = numbered.select("row", "doc_id", "doc_tokens", F.size("full").alias("windows"))
     leads = owners.select(F.col("row").alias("lead"), (F.col("row") + F.col("windows")).alias("sequence_id"))
     rest = made.join(owners.drop("windows"), "row").join(leads, "lead").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

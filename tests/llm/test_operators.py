@@ -398,3 +398,30 @@ def test_packing_knows_whole_documents(spark):
     idf[59] = 0.5
     index = packing.Index([np.arange(60), np.arange(100, 160), np.array([59, 300])], idf, 60.0)
     assert list(index.ranked(0, np.array([False, True, True]))) == [2]
+
+
+def test_packing_finds_near_documents_among_many(spark, monkeypatch):
+    """Planted groups of four among three times as many documents as a shard holds share windows as often
+    as in one index of all documents, nearly."""
+    rng = np.random.default_rng(6)
+    n, groups = 3 * packing.SHARD, 100
+    vocabulary = np.array([f" {a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in ("and", "est", "ing", "ore", "ight", "ound", "able", "ent", "ick", "ate")])
+    texts = ["".join(rng.choice(vocabulary, 60)) for _ in range(n - 4 * groups)]
+    for g in range(groups):
+        own = rng.choice(vocabulary, 12, replace=False)
+        texts += ["".join(rng.choice(own, 60)) for _ in range(4)]
+    order = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string")
+    near = [(a, b) for g in range(groups) for a in range(n - 4 * groups + 4 * g, n - 4 * groups + 4 * g + 4) for b in range(a + 1, n - 4 * groups + 4 * g + 4)]
+
+    def share():
+        windows = defaultdict(set)
+        for r in packing.packed(df, BYTE).where(f"doc_id >= {n - 4 * groups}").collect():
+            windows[r.doc_id].add(r.sequence_id)
+        return np.mean([bool(windows[a] & windows[b]) for a, b in near])
+
+    dealt = share()
+    monkeypatch.setattr(packing, "SHARD", n)
+    whole = share()
+    print("pairs that share a window:", dealt, "in one index:", whole)
+    assert dealt >= 0.9 * whole > 0.5
