@@ -55,6 +55,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one of so many rows is heavy; there are at most that many such keys.
+HEAVY, SALTS = 200, 64
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined to facts, which has one row for each value of the keys and, as `weight`, how many rows have it.
+
+    Heavy keys, at most HEAVY, are found from the weights; their rows are dealt to SALTS tasks and their facts
+    are repeated so often, so no task gets all rows of one key. `weight` isn't in the result.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    mark = F.xxhash64(*keys)
+    heavy = [r[0] for r in facts.where(F.col(weight) * HEAVY > max(total, HEAVY * SALTS)).select(mark).collect()]
+    facts = facts.drop(weight)
+    if not heavy:
+        return rows.join(facts, keys)
+    others = [F.col(c) for c in rows.columns if c not in keys]  # a salt from the row itself: the same if a task is run again
+    dealt = F.when(mark.isin(heavy), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(mark.isin(heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = facts.withColumn("tessera_salt", F.explode(copies))
+    return rows.withColumn("tessera_salt", dealt).join(salted, [*keys, "tessera_salt"]).drop("tessera_salt")
+
+
 def forget(spark: SparkSession) -> None:
     """Let the driver find out which plans of earlier rounds are no longer referenced, so that Spark's
     cleaner removes their shuffle files; otherwise these stay until the driver's memory fills."""

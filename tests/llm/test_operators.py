@@ -90,39 +90,83 @@ def within_one(a, b):
     return a[i:] == b[i + 1 :] or len(a) == len(b) and a[i + 1 :] == b[i + 1 :]
 
 
-def brute_lines(rows):
-    """(doc, number) of lines to drop, by comparing every line with all earlier ones of nearly its length."""
-    order = sorted({(i, n, x) for i, t in rows if i is not None and t is not None for n, x in enumerate(t.split("\n")) if len(x) >= lines.MIN_CHARS})
+def brute_lines(rows, min_chars=lines.MIN_CHARS):
+    """Places (row's place in the order, number) of lines to drop, by comparing every line with all earlier ones of nearly
+    its length. `rows` are (doc, row, text), distinct."""
     seen, out = defaultdict(set), set()
-    for i, n, x in order:
-        if any(within_one(x, y) for k in (-1, 0, 1) for y in seen[len(x) + k]):
-            out.add((i, n))
-        seen[len(x)].add(x)
+    for doc, row, text in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])):
+        for n, x in enumerate(text.split("\n")):
+            if re.search(r"[^\x20\x09-\x0D]", x):
+                near = (y for k in (-1, 0, 1) if len(x) + k >= min_chars for y in seen[len(x) + k]) if len(x) >= min_chars else ()
+                if x in seen[len(x)] or any(within_one(x, y) for y in near):
+                    out.add((doc, row, n))
+                seen[len(x)].add(x)
     return out
 
 
+def check_lines(df):
+    """dropped_lines and dedup_lines against brute force; the cleaned texts with their numbers, per (id, text)."""
+    rows = {(r.doc_id, r.row, r.text) for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").collect()}
+    want = brute_lines([r for r in rows if r[2] is not None])
+    assert {tuple(r) for r in lines.dropped_lines(df).collect()} == want
+    result = lines.dedup_lines(df.select("doc_id", "text", F.col("text").alias("original")))
+    got = Counter((str(r.doc_id), r.original, r.text, r.n_lines, r.n_dropped) for r in result.collect())
+    expected = Counter()
+    for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").collect():
+        every = [] if r.text is None else r.text.split("\n")
+        left = [x for n, x in enumerate(every) if (r.doc_id, r.row, n) not in want]
+        expected[str(r.doc_id), r.text, None if r.text is None else "\n".join(left), len(every), len(every) - len(left)] += 1
+    assert got == expected
+    return got
+
+
 def test_line_dedup_equals_brute_force(spark, documents, awkward, empty):
     base = "The quick brown fox jumps over the lazy dog again"
     rng = random.Random(2)
     near = [base[:i] + c + base[j:] for i, j, c in ((5, 6, "X"), (5, 5, "X"), (5, 6, ""), (40, 41, "Y"), (0, 1, ""), (48, 49, ""), (49, 49, "z"), (5, 8, "Q"))]
     made = [(k, "\n".join(rng.choice([base, *near, f"Line {k} stands for itself, {k * k}", "short", ""]) for _ in range(6))) for k in range(60)]
     hot = [(100 + k, f"a common line that all of them have\nitem number {k:04d} of a very long list of items") for k in range(120)]
-    planted = spark.createDataFrame(made + hot, "doc_id long, text string")
-    for df in (planted, documents, awkward):
-        rows = texts(df)
-        want = brute_lines(rows)
-        assert {tuple(r) for r in lines.dropped_lines(df).collect()} == want
-        got = {r.doc_id: r for r in lines.dedup_lines(df.select("doc_id", "text")).collect()}
-        assert len(got) == len({i for i, _ in rows})
-        for i, t in rows:
-            if t is None:
-                assert got[i].text is None and got[i].n_lines == 0
-            else:
-                left = [x for n, x in enumerate(t.split("\n")) if (i, n) not in want]
-                assert got[i].text == "\n".join(left) and got[i].n_dropped == len(t.split("\n")) - len(left)
+    for df in (spark.createDataFrame(made + hot, "doc_id long, text string"), documents, awkward):
+        check_lines(df)
     assert lines.dedup_lines(empty.select("doc_id", "text")).count() == 0
 
 
+def test_line_dedup_repeated_ids_short_lines_and_names(spark):
+    """Rows that share an id lose only their own repeated lines; short lines go if equal, blank ones stay; other columns stay."""
+    common = "a line that very many documents have in common"
+    rows = [(1, f"{common}\nonly in the first one, nowhere else"), (2, f"{common}\nok\n\nok\no k"), (2, "totally different opening line, unique in corpus\nok\n\n \n"), (2, f"{common}\nok\n\nok\no k"), (None, common), (None, "ok\nok"), (None, None), (3, "Part 1\nPart 2\nPart 1")]
+    got = check_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got["2", "totally different opening line, unique in corpus\nok\n\n \n", "totally different opening line, unique in corpus\n\n \n", 5, 1] == 1
+    assert got["3", "Part 1\nPart 2\nPart 1", "Part 1\nPart 2", 3, 1] == 1
+    clash = spark.createDataFrame([(1, f"{common}\n{common}", 7, "x", 1, "r")], "doc_id long, text string, n_lines int, drop string, row int, doc string")
+    out = lines.dedup_lines(clash).collect()[0].asDict()
+    assert out == {"doc_id": 1, "text": common, "drop": "x", "row": 1, "doc": "r", "n_lines": 2, "n_dropped": 1}
+    kept = lines.deduplicated_documents(clash)
+    assert kept.columns == clash.columns and kept.collect()[0].n_lines == 7
+    with_none = lines.deduplicated_documents(spark.createDataFrame([(1, "ok"), (2, "ok"), (3, " ")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in with_none.collect()) == [1, 3]
+
+
+def test_line_dedup_of_megabyte_lines(spark):
+    """Linear in the length of a line: pairs of half a million characters, one edit apart or two."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh ", k=500_000))
+    cases = [long, long[:77] + "X" + long[77:], long[:400_000] + long[400_001:], long[:9] + "Y" + long[10:], long[:9] + "YZ" + long[11:-1] + "Q"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert sorted(r.doc for r in lines.dropped_lines(df).collect()) == [1, 2, 3]
+
+
+def test_salted_join_of_heavy_keys(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "SALTS", 4)
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 900).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("k <> 5")
+    got = common.salted_join(rows, facts, ["k"], "n")
+    assert "tessera_salt" in got._jdf.queryExecution().optimizedPlan().toString() and got.columns == ["k", "id", "least"]
+    assert sorted(got.collect()) == sorted(rows.join(facts.drop("n"), "k").collect())
+
+
 def test_language_held_out_accuracy(spark, documents, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs.where(~language.held_out()))
