@@ -11,7 +11,7 @@ import json
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cache
 from heapq import heapify, heappop, heappush
 
@@ -39,14 +39,10 @@ def byte_alphabet() -> list[str]:
     return [chr(shifted.get(b, b)) for b in range(256)]
 
 
-@cache
-def later_letters() -> str:
-    """A character class of the letters and digits that the regex module knows, but Python's
-    older Unicode tables don't: tokenizers may take them for letters or for symbols."""
-    wide = regex.compile(r"[\p{L}\p{N}]").match
-    late = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and wide(chr(c))]
+def character_class(points: Iterable[int]) -> str:
+    """The inside of a pattern's character class for code points in ascending order."""
     runs: list[list[int]] = []
-    for c in late:
+    for c in points:
         if runs and c == runs[-1][1] + 1:
             runs[-1][1] = c
         else:
@@ -54,6 +50,40 @@ def later_letters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
+@cache
+def later_letters() -> frozenset[int]:
+    """The letters and digits that the regex module knows, but Python's older Unicode tables don't: tokenizers may
+    take them for letters or for symbols."""
+    wide = regex.compile(r"[\p{L}\p{N}]").match
+    return frozenset(c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and wide(chr(c)))
+
+
+def other_marks(normalize: Callable[[str], str], own: Callable[[str], str]) -> frozenset[int]:
+    """The characters whose place among combining marks, or whose composition, another normalization sees otherwise
+    than our own: its Unicode tables may be older.
+
+    Each mark meets one of every combining class in both orders, which shows its class; each character that has a
+    canonical decomposition is composed from it.
+    """
+    every = [c for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in every if unicodedata.category(chr(c))[0] == "M" or unicodedata.combining(chr(c))]
+
+    def agree(c: int, others: Iterable[str]) -> bool:
+        text = "".join(f"q{chr(c)}{r}q{r}{chr(c)}" for r in others)
+        return normalize(text) == own(text)
+
+    # Of each class the first mark that both place alike against an acute accent and a dot below, old ones both.
+    one_of_class = {unicodedata.combining(chr(c)): chr(c) for c in reversed(marks) if agree(c, "\u0301\u0323")}
+    unlike = {c for c in marks if not agree(c, one_of_class.values())}
+    for c in every:
+        parts = unicodedata.decomposition(chr(c))
+        if parts and "<" not in parts:
+            text = "".join(chr(int(part, 16)) for part in parts.split())
+            if normalize(text) != own(text):
+                unlike |= {c, *map(ord, text)}
+    return frozenset(unlike)
+
+
 def latin(text: str) -> bool:
     """Whether a text has Latin-1 characters only; far quicker than a search with a pattern."""
     try:
@@ -113,8 +143,11 @@ class Bpe:
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.lower
             else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         ).findall
-        self.recent = regex.compile(f"[{later_letters()}]").search if self.lower else lambda _: None
         self.path = path
+        self.recent = lambda _: None
+        if self.lower:
+            unlike = later_letters() | other_marks(library(path).normalizer.normalize_str, self.normalize)
+            self.recent = regex.compile(f"[{character_class(sorted(unlike))}]").search
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.byte_decoder = None
         if (spec["decoder"] or {}).get("type") == "ByteLevel":
@@ -185,8 +218,8 @@ class Bpe:
         return self.encode_plain(text)
 
     def library_words(self, text: str) -> list[str]:
-        """The words of a text with very recent letters, on which Unicode tables differ: the
-        library splits it; its tables decide."""
+        """The words of a text with very recent letters or marks, on which Unicode tables differ: the
+        library normalizes and splits it; its tables decide."""
         rules = library(self.path)
         return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))]
 

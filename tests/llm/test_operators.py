@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,6 +56,19 @@ def test_bpe_equals_library(documents, awkward, empty):
     assert bpe.encode(empty, WORD).count() == 0
 
 
+def test_bpe_marks_equal_library():
+    """Every mark alone, all pairs with marks of other classes in both orders (random), and triples, after letters."""
+    lib, own, rng = Tokenizer.from_file(WORD), bpe.Bpe(WORD), random.Random(9)
+    marks = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c))[0] == "M" or unicodedata.combining(chr(c)))]
+    composed = [unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.decomposition(chr(c))]
+    some = [f"a{m}b {m}" for m in marks] + composed + ["࢛͡", "᪷᷸", "𑥃ֳ"]
+    some += [rng.choice(["a", "é", "ष", "い", "q", "ο"]) + "".join(rng.choices(marks, k=rng.choice((2, 3)))) for _ in range(100_000)]
+    for i in range(0, len(some), 10_000):
+        part = some[i : i + 10_000]
+        assert [np.frombuffer(own.encode(t), "<u4").tolist() for t in part] == [e.ids for e in lib.encode_batch(part, add_special_tokens=False)]
+    assert not own.recent("ordinary marks: e\u0301 \u05d1\u05bc \u0e01\u0e34 \u0915\u093f")
+
+
 def test_bpe_random_words_and_byte_level():
     lib, own, rng = Tokenizer.from_file(BYTE), bpe.Bpe(BYTE), random.Random(3)
     for _ in range(500):
