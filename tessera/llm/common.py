@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -108,5 +108,22 @@ def in_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], max_rows: i
     return run
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """k1, k2: 128 hashed bits that tell rows of different ids or texts apart; null ids are no different from others."""
+    parts = F.col(id_col), F.col(text_col).cast("string")
+    return F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")
+
+
+def first_row(id_col: str) -> Column:
+    """The first of a group's rows: that with the smallest id that isn't null; ties go by k1 and k2."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "k1", "k2"))
+
+
+def rows_with(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df whose row keys are among `keys` (k1, k2), one of those that are equal in id and text."""
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), *row_keys(id_col, text_col))
+    return inner.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("whole.*")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, language, lines, neighbours, packing, quality, queries, sharding, simhash, token_counts, warc
+from tessera.llm import bpe, jaccard, language, lines, neighbours, packing, quality, queries, sharding, simhash, token_counts, warc
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -233,25 +233,55 @@ def test_simhash_equals_brute_force(spark, documents, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links_of_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 8)
-    rng = random.Random(1)
-    centres = [rng.getrandbits(64) for _ in range(4)]
-    values = {rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
-    fps = dict(enumerate(sorted(values)))
-    signed = {i: v - (1 << 64) if v >> 63 else v for i, v in fps.items()}
+def linked(spark, values):
+    """The components that simhash.links finds among unsigned fingerprints, those of one left out, sorted."""
     from tessera.llm.components import components
 
-    edges = simhash.links(spark.createDataFrame([(v,) for v in signed.values()], "fp long"))
-    number = {v: i for i, v in signed.items()}
-    assert all((fps[number[r.a]] ^ fps[number[r.b]]).bit_count() <= 64 for r in edges.collect())
+    signed = {v - (1 << 64) if v >> 63 else v for v in values}
     got = defaultdict(set)
-    for r in components(edges).collect():
-        got[r.component].add(number[r.node])
+    for r in components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect():
+        got[r.component].add(r.node & (1 << 64) - 1)
+    return sorted(map(sorted, got.values()))
+
+
+@pytest.mark.parametrize(("large", "divisions"), [(64, 0), (16, 1), (16, 2)])
+def test_simhash_links_of_large_groups(spark, monkeypatch, large, divisions):
+    """Groups above LARGE are divided, what stays above TILE is tiled; no link is lost."""
+    for name, value in (("TILE", 8), ("SUB", 4), ("LARGE", large), ("DIVISIONS", divisions)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(1)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    values = {rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
     want = defaultdict(set)
+    fps = dict(enumerate(sorted(values)))
     for i, c in brute_components(fps).items():
-        want[c].add(i)
-    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+        want[c].add(fps[i])
+    assert linked(spark, values) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_simhash_skips_by_population():
+    """Blocks whose population counts lie apart are skipped, and none that hold a link."""
+    rng = np.random.default_rng(3)
+    density = np.repeat(rng.random(40), 100)
+    bits = (rng.random((4000, 64)) < density[:, None]).astype(np.uint8)
+    fps = simhash.by_population(np.packbits(bits, axis=1).view("<i8").ravel().tolist())
+    pops = np.bitwise_count(fps).astype(np.int64)
+    assert (np.diff(pops) >= 0).all()
+    compared = np.zeros((len(fps), len(fps)), bool)
+    for i, k, j, m in simhash.near_blocks(pops, pops, 3):
+        compared[i:k, j:m] = True
+    assert compared.mean() < 0.5
+    assert compared[np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3].all()
+
+
+def test_simhash_representatives_of_repeated_ids(spark):
+    """Texts that share an id and aren't alike stay; equal rows and copies under a null id go."""
+    one, two = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, two), (None, "another text of its own, not like any"), (None, "another text of its own, not like any")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k1", F.lit(0)).withColumn("fp", F.lit(1))
+    for kept in (simhash.representatives(df), jaccard.representatives(df)):
+        assert kept.columns == df.columns
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", one), ("1", two), ("None", rows[5][1])]
 
 
 def test_warc_round_trip(spark, sf_dir):
