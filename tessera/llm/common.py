@@ -125,5 +125,13 @@ def rows_with(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
     return inner.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("whole.*")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

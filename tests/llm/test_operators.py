@@ -415,15 +415,52 @@ def test_quality_features(spark, documents, awkward, empty):
     assert quality.judged(empty.select("doc_id", "text")).count() == 0
 
 
+def brute_kept(text):
+    """The verdict of base and rules in plain Python."""
+    text = text or ""
+    words, chars, symbols, repeated_lines, repeated = brute_features(text)
+    if words < 50 or 100 * repeated > 50 * words:
+        return False
+    lines_ = len(text.split("\n"))
+    letters = sum(unicodedata.category(c)[0] in "LM" for c in text)
+    cut = len(re.findall(r"(?:\.\.\.|…)[ \t]*(?:\n|\Z)", text))
+    bullets = len(re.findall(r"(?:^|\n)[ \t]*[•‣*-]", text))
+    return 2 * words <= chars <= 15 * words and 10 * symbols <= words and 10 * repeated_lines <= 3 * lines_ and 10 * letters >= 6 * chars and 10 * cut <= 5 * lines_ and 10 * bullets <= 9 * lines_
+
+
+def test_quality_verdicts_equal_brute_force(spark, documents, awkward):
+    prose = "some plain words that make a sentence of ten words ".split()
+    many = [" ".join(f"{w}{i}" for i in range(9) for w in prose), " ".join(prose * 9)]
+    made = [*many, many[0].replace(" ", " # "), many[0].replace(" ", "...\n"), many[0].replace(" ", "\n- "), many[0] + "\nx" * 40, " ".join(str(10**9 + i) for i in range(90)), " ".join("a" for _ in range(90)), many[0] + "\n" + "y" * 1_000_000]
+    planted = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit("mine"))
+    seen = set()
+    for df in (documents, awkward, planted):
+        want = {(str(i), t): brute_kept(t) for i, t in texts(df)}
+        assert {(str(r.doc_id), r.text): r.kept for r in quality.judged(df).collect()} == want
+        kept = quality.kept_documents(df)
+        assert kept.columns == df.columns
+        assert {(str(r.doc_id), r.text) for r in kept.collect()} == {k for k, v in want.items() if v}
+        seen |= set(want.values())
+    assert seen == {True, False} and brute_kept(many[0]) and sum(map(brute_kept, made)) < len(made) - 4
+
+
 def test_quality_cascade_order_does_not_matter(documents):
     rows = quality.with_features(documents)
     found = quality.estimates(documents, quality.rules())
     assert [e.worth for e in found] == sorted((e.worth for e in found), reverse=True)
-    one = quality.cascade([e.rule for e in found])
-    other = quality.cascade(quality.rules()[::-1])
+    one, other = (quality.cascade(r, F.col("text"), quality.given_features()) for r in ([e.rule for e in found], quality.rules()[::-1]))
     verdicts = rows.select(one.alias("a"), other.alias("b")).collect()
     assert all(r.a == r.b for r in verdicts) and any(r.a for r in verdicts)
-    assert quality.kept_documents(documents).columns == documents.columns
+
+
+def test_quality_costs_are_measured(documents):
+    """A costly rule goes behind a cheap one that rejects as many rows, and before one that rejects nothing."""
+    dear = quality.Rule("dear", lambda t, f: F.length(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{M}]+", ""), r"(?i)[^\p{Lu}\p{Lt}]+?", "")) + f["n_words"] < 100)
+    cheap = quality.Rule("cheap", lambda t, f: f["n_words"] < 100)
+    idle = quality.Rule("idle", lambda t, f: f["n_words"] >= 0)
+    found = quality.estimates(documents, [idle, dear, cheap])
+    assert [e.rule.name for e in found] == ["cheap", "dear", "idle"]
+    assert found[1].seconds > 3 * found[0].seconds and found[2].rejected == 0
 
 
 def test_packing(spark, documents, awkward, empty):
