@@ -5,15 +5,51 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, which driver and executors share. Where that is
-    unset, a temporary folder serves, in local mode only."""
+def session_dir(spark: SparkSession) -> str:
+    """This application's folder in that of spark.checkpoint.dir, which driver and executors share; Hadoop deletes it when
+    the driver ends.
+
+    Where the setting is missing, a temporary folder is taken, but only in local mode: there all tasks
+    run on this machine. On a cluster a missing setting is an error.
+    """
+    known = spark.conf.get("tessera.scratch", None)
+    if known:
+        return known
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-    return f"{top.rstrip('/')}/tessera-files-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    spark.conf.set("tessera.scratch", path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's folder."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a table in the shared folder and read back.
+
+    This cuts the lineage: a lost executor costs a reread, not a recomputation, and a plan that
+    uses the rows twice computes them once.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table and file that this session wrote to the shared folder so far."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
