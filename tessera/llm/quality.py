@@ -117,7 +117,7 @@ def rules() -> list[Rule]:
     return [
         Rule("words of usual length", lambda t, f: f["word_chars"].between(2 * f["n_words"], 15 * f["n_words"])),
         Rule("few symbols", lambda t, f: 10 * f["n_symbols"] <= f["n_words"]),
-        Rule("few repeated lines", lambda t, f: 10 * f["n_dup_lines"] <= 3 * lines(t)),
+        Rule("few repeated lines", lambda t, f: 2 * f["n_dup_lines"] <= lines(t)),
         Rule("mostly letters", lambda t, f: 10 * F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")) >= 6 * f["word_chars"]),
         Rule("few lines end cut off", lambda t, f: 10 * matches(t, r"(?:\.\.\.|…)[ \t]*(?:\n|$)") <= 5 * lines(t)),
         Rule("few bullet lines", lambda t, f: 10 * matches(t, r"(?:^|\n)[ \t]*[•‣*-]") <= 9 * lines(t)),

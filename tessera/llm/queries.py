@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, language, lines, neighbours, packing, quality, sharding, simhash, token_counts, warc
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), "lang", "source")
-    done = sharding.hilbert_shards(rows, {"size": "log", "lang": "hash", "source": "hash"}, ["text_crc32", "doc_id"], 24)
+    done = sharding.hilbert_shards(written(rows, "metadata"), ["size", "lang", "source"], ["text_crc32", "doc_id"], 24)
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

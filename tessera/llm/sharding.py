@@ -1,17 +1,17 @@
 """Operator 8: shards along a Hilbert curve, with DataFrame functions only.
 
-Several metadata columns are quantised to a grid; a Hilbert curve numbers the cells so that neighbours on the
-curve are neighbours in the grid; the rows, ordered along the curve, are cut into runs. Each shard
-then covers a small box of the metadata, so a filter on any of the columns prunes shards by
-their minima and maxima.
+Several metadata columns are quantised to a grid, each by its own quantiles, so values keep their order and every level
+holds about as many rows; a Hilbert curve numbers the cells so that neighbours on the curve are neighbours in
+the grid; the rows, ordered along the curve, are cut into runs. Each shard then covers a small box of the
+metadata, so a filter on any of the columns prunes shards by their minima and maxima.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.operators.ordered import numbered, running_sums
 
 #: Bits of each quantised dimension.
 CURVE_BITS = 5
@@ -50,46 +50,44 @@ def hilbert_index(coordinates: list[Column], bits: int = CURVE_BITS) -> Column:
     return F.transform(F.array(gray), finish)[0]
 
 
-def quantised(name: str, kind: str, levels: int) -> Column:
-    """A metadata column on a grid of `levels`. `hash`: categories, by hash; `log`: sizes, four levels
-    to each doubling above 64; null is level 0."""
-    if kind == "hash":
-        level = F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(levels))
-    else:
-        level = F.least(F.lit(levels - 1), F.greatest(F.lit(0), F.floor(F.log2(F.col(name).cast("double") + 1) * 4 - 24)))
-    return F.coalesce(level, F.lit(0))
+def borders(df: DataFrame, column: str, levels: int) -> list:
+    """The values, fewer than `levels`, at which the levels from 1 on begin: exact quantiles of the rows that aren't null.
 
+    A value lies in one level only; one that many rows have takes up several, of which it uses the first. Counts
+    go by distinct value, running sums by ranges of values; a border a level reaches the driver.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    placed = running_sums(counts, ["value"], {"before": F.col("n")})
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    level = F.expr(f"before * {levels} div {max(total, 1)}")
+    found = placed.groupBy(level.alias("level")).agg(F.min("value").alias("value")).where("level > 0")
+    return sorted(r.value for r in found.collect())
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with `position`, the row's number from 0 in the order of the columns, and `total`, the number of rows.
 
-    A range partitioning sorts the rows and is written; the counts of its partitions, a few rows, give the
-    first number of each; rows are numbered within partitions. Equal keys can't overload a
-    partition as long as the last column of the order tells rows apart.
-    """
-    parts = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
-    counts = parts.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"), F.sum("count").over(everything).alias("total"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    numbered = parts.withColumn("place", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(firsts), "part").withColumn("position", F.col("first") + F.col("place")).drop("part", "first", "place")
+def quantised(column: Column, begins: list) -> Column:
+    """The level of a value: how many borders it has reached; null is level 0, as the smallest values are."""
+    level = F.lit(0)
+    for value in begins:
+        level = level + F.coalesce(column >= F.lit(value), F.lit(False)).cast("int")
+    return level
 
 
-def hilbert_shards(df: DataFrame, dimensions: dict[str, str], ties: list[str], shards: int) -> DataFrame:
+def hilbert_shards(df: DataFrame, dimensions: list[str], ties: list[str], shards: int) -> DataFrame:
     """df with `curve`, `shard` (from 0) and `slot` (the row's number in its shard, from 0).
 
-    `dimensions` maps column names to `hash` or `log`; `ties` orders rows of one cell. The counts of
+    `dimensions` are columns of any type with an order; `ties` orders rows of one cell. The counts of
     any two shards differ by one at most. Nulls lie in level 0 and first among ties; rows that are equal in
-    all `ties` are ordered arbitrarily. An empty table gives none. df must have no
-    column of the names curve, position, total, part, first, place, shard or slot.
+    all `ties` are ordered arbitrarily. An empty table gives none. Columns of df with the names of added ones are replaced.
     """
-    placed = df.withColumn("curve", hilbert_index([quantised(c, kind, 1 << CURVE_BITS) for c, kind in dimensions.items()]))
-    rows = ranked(placed, ["curve", *ties])
+    levels = 1 << CURVE_BITS
+    curve = hilbert_index([quantised(F.col(f"`{c}`"), borders(df, c, levels)) for c in dimensions])
+    kept = [c for c in df.columns if c not in ("curve", "shard", "slot")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept])
+    rows = numbered(df.select(whole.alias("whole"), curve.alias("curve"), *[F.col(f"`{c}`").alias(f"tie{i}") for i, c in enumerate(ties)]), ["curve", *[f"tie{i}" for i in range(len(ties))]])
     shard = F.expr(f"cast(position * {shards} div total as int)")
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return rows.withColumn("shard", shard).withColumn("slot", F.col("position") - first).drop("position", "total")
+    placed = rows.withColumn("shard", shard).withColumn("slot", F.col("position") - first)
+    return placed.select(*[F.col(f"whole.`{c}`") for c in kept], "curve", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

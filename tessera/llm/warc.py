@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch_path, slices
+from tessera.llm.common import scratch, slices
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, of a Zstandard
 #: frame, and of a raw dictionary; all little-endian.
@@ -264,7 +264,7 @@ def through_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     archive and no rows. Other columns are left out.
     """
     spark = pages.sparkSession
-    path = scratch_path(spark, "warc")
+    path = scratch(spark, "warc")
     files = write_archives(pages, path, id_col, url_col, html_col)
     spread = files.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "file")
     return read_archives(spread, path)
