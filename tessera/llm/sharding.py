@@ -50,8 +50,9 @@ def hilbert_index(coordinates: list[Column], bits: int = CURVE_BITS) -> Column:
     return F.transform(F.array(gray), finish)[0]
 
 
-def borders(df: DataFrame, column: str, levels: int) -> list:
-    """The values, fewer than `levels`, at which the levels from 1 on begin: exact quantiles of the rows that aren't null.
+def borders(df: DataFrame, column: str, levels: int) -> list[tuple]:
+    """(value, level), fewer than `levels`: the values at which levels above 0 begin, exact quantiles of the rows that
+    aren't null.
 
     A value lies in one level only; one that many rows have takes up several, of which it uses the first. Counts
     go by distinct value, running sums by ranges of values; a border a level reaches the driver.
@@ -61,14 +62,14 @@ def borders(df: DataFrame, column: str, levels: int) -> list:
     total = placed.agg(F.sum("n")).first()[0] or 0
     level = F.expr(f"before * {levels} div {max(total, 1)}")
     found = placed.groupBy(level.alias("level")).agg(F.min("value").alias("value")).where("level > 0")
-    return sorted(r.value for r in found.collect())
+    return sorted((r.value, r.level) for r in found.collect())
 
 
-def quantised(column: Column, begins: list) -> Column:
-    """The level of a value: how many borders it has reached; null is level 0, as the smallest values are."""
-    level = F.lit(0)
-    for value in begins:
-        level = level + F.coalesce(column >= F.lit(value), F.lit(False)).cast("int")
+def quantised(column: Column, begins: list[tuple]) -> Column:
+    """The level of a value: that of the last border it has reached; null is level 0, as the smallest values are."""
+    level, before = F.lit(0), 0
+    for value, here in begins:
+        level, before = level + F.when(column >= F.lit(value), F.lit(here - before)).otherwise(F.lit(0)), here
     return level
 
 

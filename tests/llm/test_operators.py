@@ -399,10 +399,10 @@ def test_shard_levels_are_quantiles(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").repartition(3)
     begins = sharding.borders(df, "v", 8)
     known = sorted(v for v in values if v)
-    want = sorted({min(v for v in known if known.index(v) * 8 // len(known) == level) for level in {known.index(v) * 8 // len(known) for v in known} - {0}})
-    assert begins == want and len(begins) < 8
+    level = {v: known.index(v) * 8 // len(known) for v in known}
+    assert begins == sorted((min(v for v in known if level[v] == n), n) for n in set(level.values()) - {0}) and len(begins) < 8
     got = {r.v: r.level for r in df.select("v", sharding.quantised(F.col("v"), begins).alias("level")).collect()}
-    assert got == {v: sum(v is not None and v >= b for b in begins) for v in values}
+    assert got == level | {None: 0}
 
 
 def test_shards_follow_the_curve_and_prune(spark):
@@ -418,7 +418,7 @@ def test_shards_follow_the_curve_and_prune(spark):
         opened += sum(b[f"min_{column}"] <= r[column] <= b[f"max_{column}"] for r in holding for b in bounds)
         needed, possible = needed + sum(r.n for r in holding), possible + 24 * len(holding)
     small = sum(b.min_size <= 500 for b in bounds)
-    assert opened <= 1.35 * needed and opened < 0.75 * possible and small <= 18, (opened, needed, possible, small)
+    assert opened <= 1.25 * needed and opened < 0.6 * possible and small <= 12, (opened, needed, possible, small)
     done.unpersist()
 
 
