@@ -91,10 +91,23 @@ def test_transducers_on_random_text():
     parts = ["'s", "'re", "'ll", "'", "'r", "'l", "l", "r", "e", "  ", " ", "\n", "\t", "a", "1", "é", "!", "<|endoftext|>", "　", "日", "the", " The", "\r\n", "\x85", "Ⅷ", "🙂"]
     some = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["x" * 3000, " " * 700]
     assert machine.texts(some).tolist() == [len(e.ids) for e in lib.encode_batch(some, add_special_tokens=False)]
+    assert machine.texts([]).tolist() == [] and machine.texts(["", ""]).tolist() == [0, 0]
     words = [w for t in some for w in machine.coder.words(t)][:3000]
     assert [machine.encode(w) for w in words] == [machine.coder.merge(machine.coder.symbols(w)) for w in words]
 
 
+def test_count_chunks_compose(monkeypatch):
+    """Tiny chunks and a table that is soon full: counts don't depend on where the stream is cut or compilation starts anew."""
+    lib, rng = Tokenizer.from_file(BYTE), random.Random(6)
+    some = ["".join(rng.choice(["the", " quick", "brown ", "\n\n", "é", "日本", "12", "'s", "supercalifragilistic", "🙂", "<|endoftext|>"]) for _ in range(rng.randrange(60))) for _ in range(300)] + ["z" * 5000, "ab" * 40_000]
+    want = [len(e.ids) for e in lib.encode_batch(some, add_special_tokens=False)]
+    for lane, chunk, most in ((1, 7, 10**6), (3, 64, 200), (50, 256, 50)):
+        monkeypatch.setattr(token_counts, "LANE", lane)
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", most)
+        assert token_counts.Counter(bpe.bpe(BYTE)).texts(some).tolist() == want
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
