@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import salted_join, written
 from tessera.llm.quality import BLANKS, let
+from tessera.operators.ordered import numbered
 
 #: Shorter lines are dropped for equal ones only: in a few characters one edit makes another word ("Part 1", "Part 2").
 MIN_CHARS = 20
@@ -64,9 +65,12 @@ def variants(lines: DataFrame) -> DataFrame:
 
     WHOLE is the line itself, CUT the line without the character at place `at`, keyed by length and content; GAP the same,
     keyed by the place of the character as well. Content is hashed as the exclusive-or of 64-bit hashes of (character,
-    place), so running values give all of a line's keys at once.
+    place), so running values give all of a line's keys at once. Whole lines are dealt before they are taken apart, to as
+    many tasks as their characters need.
     """
-    chars = lines.select("first", "n", F.posexplode(F.split("line", "")).alias("at", "char")).where("at < n")
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, min(total >> 18, 2000 + (total >> 22)))
+    chars = lines.repartition(tasks, "first").select("first", "n", F.posexplode(F.split("line", "")).alias("at", "char")).where("at < n")
     inside = Window.partitionBy("first").orderBy("at")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     own, moved = F.xxhash64("char", "at"), F.xxhash64(F.col("char"), F.col("at") - 1)
@@ -115,7 +119,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc, row, line_no) of the lines to drop."""
     docs = documents_of(df, id_col, text_col)
     line, first = F.col("line"), F.struct("doc", "row", "line_no")
-    lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.length(F.translate("line", BLANKS, "")) > 0)
+    lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.ltrim("line", F.lit(BLANKS)) != "")
     n = F.length("line")
     keys = F.when(n >= min_chars, block_keys(line, n, BLOCKS[0])).otherwise(F.array().cast("array<bigint>"))
     narrow = lines.select("doc", "row", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), keys.alias("keys"))
@@ -126,7 +130,9 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = docs.join(near, same_document(docs, near)).select(docs["doc"], docs["row"], "text", "wanted")
     chosen = let(F.split("text", "\n", -1), lambda all_: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(all_, i).alias("line"))))
     texts = some.select("doc", "row", F.explode(chosen).alias("v")).select(F.struct("doc", "row", "v.line_no").alias("first"), "v.line")
-    texts = written(texts.dropDuplicates(["first"]).withColumn("n", F.length("line")), "line-texts")
+    # From here on lines are known by their number in the order.
+    once = texts.dropDuplicates(["first"]).select("first.*", "line", F.length("line").alias("n"))
+    texts = numbered(once, ["doc", "row", "line_no"]).drop("total").withColumnRenamed("position", "first")
     close = sharing(texts.select("first", block_keys(F.col("line"), F.col("n"), BLOCKS[1]).alias("keys")))
     texts = written(texts.join(close, "first", "left_semi"), "close-lines")
     found = witnesses(variants(texts))
@@ -134,12 +140,12 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found.join(texts.select("first", "line"), "first")
         .join(texts.select(F.col("first").alias("witness"), F.col("line").alias("earlier")), "witness")
         .where(one_edit(F.col("line"), F.col("earlier"), F.col("kind"), F.col("at")))
-        .select("first").distinct()
+        .select("first").distinct().join(texts.select("first", "doc", "row", "line_no"), "first")
     )
     # All copies but the first go, and the first too if an earlier line is within one edit.
     copies = distinct.where("copies > 1").select("k1", "k2", F.col("first").alias("kept"), "copies")
     later = salted_join(narrow.drop("keys"), copies, ["k1", "k2"], "copies").where(first > F.col("kept")).select("doc", "row", "line_no")
-    return later.union(proved.select("first.*"))
+    return later.union(proved.select("doc", "row", "line_no"))
 
 
 def without_lines(text: Column, dropped: Column) -> Column:
