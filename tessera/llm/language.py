@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import in_slices, written
 
-#: Texts of each language that are fitted, at most (a documented bound of the training sample).
-SAMPLE_PER_LANGUAGE = 400
-#: Of them, landmarks of each language.
-LANDMARKS_PER_LANGUAGE = 40
+#: Texts of each language that are fitted, and of all languages (documented bounds of the training sample).
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 16_000
+#: Of them, landmarks of each language, and of all.
+LANDMARKS_PER_LANGUAGE, LANDMARKS = 40, 1_600
+#: Longer texts are scored in blocks of so many characters, since a very long one has nearly all n-grams of any language.
+BLOCK = 8192
 NGRAMS = (1, 2, 3)
 #: Hashed n-grams fall into so many buckets; presence is a bit.
 BUCKETS = 1 << 13
@@ -35,8 +37,14 @@ UNKNOWN = "und"
 has_letter = regex.compile(r"\p{L}").search
 
 
+def blocks(text: str) -> list[str]:
+    """The whole text in blocks of equal length up to BLOCK."""
+    parts = -(-len(text) // BLOCK)
+    return [text[len(text) * i // parts : len(text) * (i + 1) // parts] for i in range(parts)]
+
+
 def presence(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Which hashed n-grams of the lower-cased text occur; whole text, one row of booleans."""
+    """Which hashed n-grams of the lower-cased text occur, one row of booleans."""
     out = np.zeros(buckets, bool)
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
     mixed = np.zeros(len(points), np.uint64)
@@ -70,10 +78,13 @@ class LanguageModel:
         known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if known and self.languages:
-            x = np.zeros((len(known), BUCKETS), np.float32)
-            for row, i in enumerate(known):
-                x[row] = presence(texts[i])
-            values = kernel(x, self.landmarks) @ self.weights + self.constants
+            values = np.zeros((len(known), len(self.languages)), np.float32)
+            pieces = [(row, part) for row, i in enumerate(known) for part in blocks(texts[i]) if has_letter(part)]
+            for i in range(0, len(pieces), 512):
+                some = pieces[i : i + 512]
+                x = np.stack([presence(part) for _, part in some]).astype(np.float32)
+                np.add.at(values, [row for row, _ in some], kernel(x, self.landmarks) @ self.weights + self.constants)
+            values /= np.bincount([row for row, _ in pieces], minlength=len(known))[:, None]
             chance = np.exp(SHARPNESS * (values - values.max(1, keepdims=True)))
             chance /= chance.sum(1, keepdims=True)
             best = chance.argmax(1)
@@ -86,7 +97,8 @@ def solve(x: np.ndarray, languages: list[str]) -> LanguageModel:
     """Fit the model to rows of presence bits and their languages, in the given order."""
     names = tuple(sorted(set(languages)))
     labels = np.array(languages)
-    chosen = np.concatenate([np.flatnonzero(labels == n)[:LANDMARKS_PER_LANGUAGE] for n in names])
+    each = max(1, min(LANDMARKS_PER_LANGUAGE, LANDMARKS // len(names)))
+    chosen = np.concatenate([np.flatnonzero(labels == n)[:each] for n in names])
     landmarks = x[chosen]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     keep = values > 1e-6 * values.max()
@@ -103,20 +115,28 @@ def solve(x: np.ndarray, languages: list[str]) -> LanguageModel:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from a bounded sample of the labelled rows: for each language the
-    SAMPLE_PER_LANGUAGE rows whose hashed ids are smallest, whole texts. Rows without id, text with
+    SAMPLE_PER_LANGUAGE rows whose hashed ids are smallest (fewer where languages are so many that these were more
+    than SAMPLE), of a long text one of its blocks. Rows without id, text with
     a letter, or language aren't used. What reaches the driver is 1 KB of presence bits for each
     sampled text. Without any usable row the model knows no language and answers `und`."""
-    order = F.xxhash64(id_col)
-    # Spark keeps each task's first rows of every language before the shuffle (a group limit).
-    w = Window.partitionBy(lang_col).orderBy(order, id_col)
-    known = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, lang_col)
-    picked = known.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SAMPLE_PER_LANGUAGE)
+    known = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("tessera_id"), F.col(lang_col).alias("tessera_lang"))
+    # Of more than SAMPLE languages the most frequent are learned.
+    counts = written(known.groupBy("tessera_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tessera_lang").limit(SAMPLE), "languages")
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    # Hashes are spread evenly, so rows under this bound are a few more than are wanted: no task gets all of a language.
+    hashed = F.xxhash64("tessera_id")
+    bound = (2 * each + 50) / F.col("n")
+    few = known.join(F.broadcast(counts), "tessera_lang").where((hashed / 2.0**64 + 0.5) < bound).drop("n").distinct()
+    w = Window.partitionBy("tessera_lang").orderBy(hashed, "tessera_id")
+    picked = few.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each)
     # A bounded table: languages times the sample size; written once, for the join below.
-    sample = written(picked.select(F.col(id_col).alias("tessera_id"), F.col(lang_col).alias("tessera_lang")).distinct(), "language-sample")
+    sample = written(picked.drop("place"), "language-sample")
 
     def bits(rows: pa.RecordBatch) -> pa.RecordBatch:
-        texts = rows.column(2).to_pylist()
-        packed = [np.packbits(presence(t)).tobytes() if t and has_letter(t) else None for t in texts]
+        packed = []
+        for k, text in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+            parts = [part for part in blocks(text or "") if has_letter(part)]
+            packed.append(np.packbits(presence(parts[k % len(parts)])).tobytes() if parts else None)
         return pa.record_batch([rows.column(0), rows.column(1), pa.array(packed, pa.binary())], ["k", "lang", "bits"])
 
     few = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).join(

@@ -44,6 +44,8 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, Bpe]:
     coder = Bpe(path)
     if coder.byte_decoder is None or any((a & 0xFFFFFFFF) >= (b & 0xFFFFFFFF) for a, b in pairwise(coder.pairs.values())):
         raise ValueError("a byte-level vocabulary with ids in the order of its merges is needed")
+    if max(coder.strings) >= VOCABULARY:
+        raise ValueError("ids of tails are kept in 16 bits")
     ranks = {raw: i for i, raw in coder.byte_decoder.items() if i not in coder.special.values()}
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=coder.special), coder
 

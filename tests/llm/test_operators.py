@@ -209,6 +209,33 @@ def test_language_held_out_accuracy(spark, documents, awkward, empty):
     assert sorted(map(tuple, direct.select("doc_id", "lang_pred").collect())) == sorted(map(tuple, language.predict(docs.limit(50), model).select("doc_id", "lang_pred").collect()))
 
 
+def test_language_equals_exact_kernel(documents):
+    """Predictions from hashed n-grams against those of the kernel over n-grams themselves, fitted alike."""
+    rows = sorted((r.doc_id, r.text, r.lang) for r in documents.where("lang is not null").collect() if r.text and language.has_letter(r.text) and len(r.text) <= language.BLOCK)
+    grams = [{t.lower()[i : i + n] for n in language.NGRAMS for i in range(len(t) - n + 1)} for _, t, _ in rows]
+    number = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+    exact = np.zeros((len(rows), len(number)), np.float32)
+    for row, found in zip(exact, grams, strict=True):
+        row[[number[g] for g in found]] = 1
+    hashed = np.stack([language.presence(t) for _, t, _ in rows]).astype(np.float32)
+    guesses = []
+    for x in (exact, hashed):
+        model = language.solve(x[::2], [lang for _, _, lang in rows[::2]])
+        guesses.append((language.kernel(x, model.landmarks) @ model.weights + model.constants).argmax(1))
+    assert np.mean(guesses[0] == guesses[1]) > 0.98
+
+
+def test_language_of_very_long_texts(spark):
+    """Megabyte-long texts of every language, each made of documents of one language, keep language and certainty."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where(~language.held_out()))
+    long = [(r.lang, (r.t * (1 + 2_000_000 // len(r.t)))[:2_000_000]) for r in docs.where(language.held_out() & F.col("lang").isNotNull()).groupBy("lang").agg(F.array_join(F.collect_list("text"), "\n").alias("t")).collect()]
+    names, scores = model.score([t for _, t in long])
+    assert len(long) == 4 and names == [lang for lang, _ in long] and min(scores) > 0.6
+    mixed, _ = model.score([long[0][1][: language.BLOCK] + "0" * 3 * language.BLOCK, "1" * 3 * language.BLOCK])
+    assert mixed == [long[0][0], "und"]
+
+
 def brute_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
