@@ -9,7 +9,8 @@ precision on the original vectors.
 
 Equal vectors are one node, however many there are, and the smallest ids of each stand ready for
 the results, so ties are exact. For inner products of vectors of unequal length, a further
-coordinate makes all lengths equal, so that the graph's nearness is a metric.
+coordinate makes lengths equal, so that the graph's nearness is a metric. The length that is made equal to is one
+that few vectors exceed; these have no such coordinate and stay longer, as near to others as inner products make them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,15 @@ from tessera.llm.common import forget, slices, written
 
 K = 40
 REVERSE = 40
-ROUNDS = 5
+#: Descent ends when so small a share of edges is new, or after so many rounds.
+SETTLED, ROUNDS = 0.03, 12
 #: Best pairs that a member of a local join reports in a round.
 REPORT = 6
-BEAM, EXPAND, HOPS = 160, 80, 3
+BEAM, EXPAND = 160, 80
+#: The walk ends when so small a share of the beams' places is new, or after so many hops.
+ARRIVED, HOPS = 0.02, 10
+#: Of all vectors, the share that may be longer than the length made equal to; in the graph at most so many times.
+LONGER, LONGEST = 0.001, 64.0
 TILE = 256
 #: Nodes whose lists or vectors one task holds at a time.
 BLOCK = 2000
@@ -46,7 +52,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("x") == (size.n if size else 0))
 
 
-def packed(nodes: DataFrame, largest: float, dims: int, seed: int = 7) -> DataFrame:
+def packed(nodes: DataFrame, even: float, dims: int, seed: int = 7) -> DataFrame:
     """(node, v binary, code1, code2): half-precision vectors of equal length, and the signs along two
     sets of random directions as sort keys."""
     rng = np.random.default_rng(seed)
@@ -54,7 +60,10 @@ def packed(nodes: DataFrame, largest: float, dims: int, seed: int = 7) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, 2048):
-            x = np.array(rows.column(1).to_pylist(), np.float64).reshape(rows.num_rows, dims) / largest
+            x = np.array(rows.column(1).to_pylist(), np.float64).reshape(rows.num_rows, dims)
+            peak = np.abs(x).max(1, keepdims=True)  # squares of what isn't near 1 could overflow or vanish
+            length = peak[:, 0] * np.sqrt(((x / peak) ** 2).sum(1))
+            x *= (np.minimum(length / even, LONGEST) / length)[:, None]
             rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
             v = np.hstack([x, rest[:, None]]).astype(np.float16)
             codes = [((v.astype(np.float32) @ p > 0) @ (1 << np.arange(30, dtype=np.int64))).astype(np.int64) for p in planes]
@@ -91,11 +100,11 @@ def first_edges(vectors: DataFrame, code: str, nodes: int, dims: int) -> DataFra
 
 
 def strongest(edges: DataFrame, k: int) -> DataFrame:
-    """The k best edges of each node: equal edges are merged and each task drops what can't be among
-    the best before the shuffle, so that a node named by very many others does no harm."""
+    """The k best edges (a, b, s, new) of each node: equal edges are merged and each task drops what can't be among
+    the best before the shuffle, so that a node named by very many others does no harm. An edge that was known isn't new."""
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
-    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("a", "b", "s")
+    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("a", "b", "s", "new")
 
 
 def neighbourhoods(graph: DataFrame, salt: int) -> DataFrame:
@@ -156,25 +165,29 @@ def round_of_descent(graph: DataFrame, placed: DataFrame, blocks: int, dims: int
         return pd.DataFrame({"a": ids[a[once].astype(np.int64)], "b": ids[b[once].astype(np.int64)], "s": s[once].astype(np.float32)})
 
     news = lists.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(meet, "a long, b long, s float")
-    new = written(strongest(graph.union(news), K), "graph")
+    known = graph.select("a", "b", "s", F.lit(0).alias("new"))
+    better = written(strongest(known.union(news.withColumn("new", F.lit(1))), K), "graph")
     forget(graph.sparkSession)
-    return new
+    return better
 
 
 def build(vectors: DataFrame, placed: DataFrame, blocks: int, nodes: int, dims: int) -> DataFrame:
     """The graph: (a, b, s), up to K rows for each node."""
     starts = first_edges(vectors, "code1", nodes, dims).union(first_edges(vectors, "code2", nodes, dims))
-    graph = written(strongest(starts, K), "graph")
+    graph = written(strongest(starts.withColumn("new", F.lit(1)), K), "graph")
     for number in range(ROUNDS if nodes > TILE else 0):
         graph = round_of_descent(graph, placed, blocks, dims, number)
+        if graph.agg(F.avg("new")).first()[0] <= SETTLED:
+            break
     return graph
 
 
 def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, dims: int) -> DataFrame:
-    """(query, w, s): the beam of each query (a node) after HOPS rounds of greedy search from its own node.
+    """(query, w, s): the beam of each query (a node) after a greedy search from its own node.
 
-    A round expands the EXPAND best nodes of the beam that haven't been expanded; what hasn't been seen is
-    scored, block by block of the nodes' ids, and the BEAM best stay."""
+    A hop expands the EXPAND best nodes of the beam that haven't been expanded; what hasn't been seen is
+    scored, block by block of the nodes' ids, and the BEAM best stay. It goes on until hardly anything new comes
+    into the beams."""
     near = written(neighbourhoods(graph, -1), "near")
     asked = written(starts.join(placed, F.col("query") == F.col("node")).select("query", F.col("v").alias("q")), "asked")
     # Seen nodes: those of the beam and all that have been scored (kept with their round).
@@ -198,19 +211,20 @@ def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, di
         return pd.DataFrame({"query": np.concatenate(query), "w": np.concatenate(w), "s": np.concatenate(s).astype(np.float32)} if query else {"query": [], "w": [], "s": []})
 
     order = Window.partitionBy("query").orderBy(F.desc("s"), "w")
-    for hop in range(HOPS):
+    for _ in range(HOPS):
         ranked = beam.withColumn("turn", F.row_number().over(Window.partitionBy("query", "expanded").orderBy(F.desc("s"), "w")))
         marked = written(ranked.withColumn("now", ~F.col("expanded") & (F.col("turn") <= EXPAND)).drop("turn"), "marked")
         met = marked.where("now").join(near, F.col("w") == F.col("centre")).select("query", F.explode("members").alias("w")).distinct()
         fresh = written(met.join(seen, ["query", "w"], "left_anti"), "fresh")
-        if hop < HOPS - 1:
-            seen = written(seen.union(fresh), "seen")
+        seen = written(seen.union(fresh), "seen")
         pairs = fresh.groupBy("query", block_of("w", blocks).alias("block")).agg(F.collect_list("w").alias("ws")).join(asked, "query")
         scored = pairs.groupBy("block").cogroup(placed.groupBy("home")).applyInPandas(score, "query long, w long, s float")
         old = marked.select("query", "w", "s", (F.col("expanded") | F.col("now")).alias("expanded"))
         merged = old.union(scored.withColumn("expanded", F.lit(False)))
         beam = written(merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM).drop("place"), "beam")
         forget(graph.sparkSession)
+        if (beam.agg(F.avg((~F.col("expanded")).cast("int"))).first()[0] or 0) <= ARRIVED:
+            break
     return beam.select("query", "w", "s")
 
 
@@ -225,13 +239,14 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     """
     spark = df.sparkSession
     rows = written(usable(df, id_col, vec_col).distinct(), "vectors")
-    facts = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))).alias("m"), F.max(F.size("x")).alias("d")).first()
-    if facts.m is None:
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))
+    facts = rows.agg(F.percentile_approx(length, 1 - LONGER, 10_000).alias("even"), F.max(F.size("x")).alias("d")).first()
+    if facts.d is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = facts.d + 1
     groups = written(rows.groupBy("x").agg(F.min("vec_id").alias("node")), "nodes")
     nodes = groups.count()
-    vectors = written(packed(groups, facts.m, facts.d), "packed")
+    vectors = written(packed(groups, facts.even, facts.d), "packed")
     # The smallest ids of each group of equal vectors; each task keeps its first before the shuffle.
     place = Window.partitionBy("node").orderBy("vec_id")
     owner = written(rows.join(groups, "x").select("vec_id", "node"), "owner")
@@ -242,10 +257,9 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     placed = written(vectors.select("node", "v", block_of("node", blocks).alias("home")), "placed")
     graph = build(vectors, placed, blocks, nodes, dims)
     found = walk(graph, placed, starts, blocks, dims)
-    # Half precision can turn near ties: twice k nodes and a margin are scored again.
-    close = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "w"))).where(F.col("place") <= 2 * k + 10)
+    # Half precision can turn near ties: the whole beam is scored again.
     exact = (
-        close.select("query", "w").join(groups.select(F.col("node").alias("query"), F.col("x").alias("qx")), "query")
+        found.select("query", "w").join(groups.select(F.col("node").alias("query"), F.col("x").alias("qx")), "query")
         .join(groups.select(F.col("node").alias("w"), "x"), "w")
         .withColumn("score", F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v))
     )

@@ -389,6 +389,30 @@ def test_neighbours_recall(spark):
     assert check_neighbours(neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect(), exact_neighbours([(r.vec_id, r.embedding) for r in df.collect()])) >= 0.95
 
 
+def recall_of(spark, x, queries_every=20):
+    """The share of each query's true 20 nearest (exact inner products) that the graph search finds."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % queries_every == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    shares = []
+    for q in range(0, len(x), queries_every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        shares.append(len(got[q] & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
+    return np.mean(shares)
+
+
+def test_neighbours_of_very_unequal_lengths(spark):
+    """One vector a thousand times as long as the others, and a tight group of near copies, cost no recall."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[17] *= 1000
+    x[500:800] = x[500] + 1e-4 * rng.standard_normal((300, 24))
+    assert recall_of(spark, x) > 0.95
+
+
 def test_neighbours_awkward_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(60)]
