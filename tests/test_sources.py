@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import las, xyz
 from tessera.sources.points import Quantization
@@ -21,7 +22,7 @@ def test_las_ranges_and_negative_coordinates(spark, tmp_path, monkeypatch):
 
 
 def test_old_las_without_time(spark, tmp_path):
-    rows = np.zeros(5, las.RECORD_BASE)
+    rows = np.zeros(5, las.RECORDS[0])
     rows["qx"], rows["intensity"] = range(5), 9
     head = bytearray(las.header_of(rows, Quantization()))[:227]
     struct.pack_into("<BB", head, 24, 1, 2)
@@ -40,13 +41,10 @@ def test_broken_las_is_an_error(spark, tmp_path):
 
 
 def test_compressed_and_newer_formats(spark, tmp_path):
-    rows = np.zeros(2, las.RECORD_TIME)
+    rows = np.zeros(2, las.RECORDS[1])
     rows["qx"], rows["options"] = (4, 5), 9
     head = bytearray(las.header_of(rows, Quantization()))
-    head[104] = 6
     (tmp_path / "new.las").write_bytes(bytes(head) + rows.tobytes())
-    got = las.read_las(spark, f"file://{tmp_path}").orderBy("point_index").collect()
-    assert [(r.qx, r.options, r.class_bits, r.gps_time) for r in got] == [(4, None, None, None), (5, None, None, None)]
     head[104] = 0x81
     (tmp_path / "new.las").write_bytes(bytes(head) + rows.tobytes())
     with pytest.raises(Exception, match="compressed"):
@@ -63,3 +61,40 @@ def test_xyz_lines(spark):
     got = [(r.x, r.y, r.z, r.bad) for r in xyz.parsed_lines(lines).collect()]
     assert got == [(1.0, 2.5, -3.0, False), (None, None, None, True), (None, None, None, True), (None, None, None, True), (1.0, 2.0, 3.25, False)]
     assert xyz.parsed_lines(lines, signed=False).first().z == 3.0
+
+
+@pytest.mark.parametrize("form", range(11))
+def test_every_point_format(spark, tmp_path, form):
+    """All fields of all formats survive; a record longer than its format is skipped over; fields are decoded as asked for."""
+    wide = form >= 6
+    df = spark.range(50).selectExpr(
+        "int(id - 20) qx", "int(-id) qy", "int(id * 3) qz", "int(id + 60000) intensity", "int(id % 5 + 1 + 16 * 7) options" if wide else "int(id % 5 + 1 + 8 * 5 + 64 + 128) options", "int(64 + 128) flags", "int(id % 30) classification",
+        "int(id % 30 + 32) class_bits", "int(-id) scan_angle", "int(id) user_data", "int(id + 65000) source_id", "double(id) / 4 gps_time", "int(id * 1000) red", "int(id * 2) green", "int(id) blue", "int(id * 7) nir",
+    )
+    folder = f"file://{tmp_path}/f"
+    las.write_las(df.repartition(2), folder, Quantization((0.5, 1.0, 1.0)), form, [("me", 7, "a record", b"abc"), ("LASF_Spec", 4, "", b"")], [("you", 9, "more", bytes(70_000))]).collect()
+    have = dict(las.RECORDS[form])
+    fields = ["qx", "x", "intensity", "return_number", "return_count", "scan_direction", "flight_edge", "classification", "scan_angle", "user_data", "source_id", "gps_time", "red", "nir"]
+    got = sorted(tuple(r) for r in las.read_las(spark, folder, fields).collect())
+    want = [(i - 20, (i - 20) * 0.5, i + 60000, i % 5 + 1, 7 if wide else 5, 1, 1, i % 30, -i, i, i + 65000, i / 4 if "gps_time" in have else None, i * 1000 if "red" in have else None, i * 7 if "nir" in have else None) for i in range(50)]
+    assert got == want
+    kept = {(r.extended, r.user_id, r.record_id, r.description, len(r.data), r.known) for r in las.records(spark, folder).collect()}
+    assert kept == {(0, "me", 7, "a record", 3, None), (0, "LASF_Spec", 4, "", 0, "extra bytes"), (1, "you", 9, "more", 70_000, None)}
+    one = las.merged(las.headers(spark, folder)).first()
+    assert one.n_points == 50 and one.kinds == 1 and one.by_return[:6] == [10, 10, 10, 10, 10, 0] and one.min_xyz[1] == -49
+    offset = las.headers(spark, folder).select(las.rgb_offset(F.col("point_format")).alias("at")).first().at
+    assert offset == {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}.get(form)
+
+
+def test_list_files_and_ranges(spark, tmp_path):
+    """A list names files relative to itself, lists among them; missing files are skipped. Ranges read single points."""
+    for name in ("a", "b"):
+        las.write_las(spark.range(30).selectExpr("int(id) qx", "int(0) qy", "int(0) qz").coalesce(1), f"file://{tmp_path}/{name}", Quantization()).collect()
+    (tmp_path / "inner.lasgroup").write_text("b/part-000000-0000.las\nmissing.las\ninner.lasgroup\n")
+    (tmp_path / "all.lasgroup").write_text("a/part-000000-0000.las\n\ninner.lasgroup\n")
+    both = f"file://{tmp_path}/all.lasgroup"
+    assert las.read_las(spark, both).count() == 60
+    some = las.headers(spark, both).selectExpr("path", "7L start", "2L n")
+    found = las.read_las(spark, both, ("qx", "byte_offset"), some).collect()
+    assert sorted((r.qx, r.byte_offset) for r in found) == [(q, 375 + 28 * q) for q in (7, 7, 8, 8)]
+    assert {r.line for r in las.preview(spark, both).collect()} == {"LAS 1.4, format 1, 30 points, x 0.00 to 0.29 y 0.00 to 0.00 z 0.00 to 0.00"}
