@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import quantize, records
@@ -136,7 +136,7 @@ def estimation_grid(spark, d):
  SELECT round(sqrt(500 / (median_count / ({CELL[0]} * 1.0 * {CELL[1]} * 0.01))), 6) AS side FROM s""")
 def actual_grid(spark, d):
     summary = grid.density_summary(grid.density(order_cells(spark, d)))
-    return summary.select(F.round(F.sqrt(500 / (F.col("median_count") / (CELL[0] * 1.0 * CELL[1] * 0.01))), 6).alias("side"))
+    return summary.select(F.round(grid.side_for_density(F.col("median_count") / (CELL[0] * 1.0 * CELL[1] * 0.01), 500), 6).alias("side"))
 
 
 HIST = f"""{LINE}, f AS (SELECT min(qz) AS mn, max(qz) AS mx FROM pts), f2 AS (SELECT mn, mx, greatest(CASE WHEN mx > mn + 1 THEN length(bin(mx - mn - 1)) ELSE 0 END - 10, 0) AS s FROM f),
@@ -149,8 +149,8 @@ def z_histogram(spark, d):
 
 
 @query(f"""WITH {HIST}, c AS (SELECT bin, n, (bin + 0.5::DOUBLE) / (((mx - mn) >> s) + 1) * (mx - mn) + mn AS c FROM hist, f2),
- m AS (SELECT sum(n) AS t, sum(n * c) AS s1, sum(n * c * c) AS s2, arg_max(c, (n, -bin)) AS mode FROM c)
- SELECT round(s1 / t, 3) AS mean, round((s2 - t * (s1 / t) * (s1 / t)) / (t - 1), 1) AS variance, round(mode, 3) AS mode FROM m""")
+ m AS (SELECT sum(n) AS t, sum(n * c) / sum(n) AS mean, arg_max(c, (n, -bin)) AS mode FROM c)
+ SELECT round(max(mean), 3) AS mean, round(sum(n * (c - mean) * (c - mean)) / (max(t) - 1), 1) AS variance, round(max(m.mode), 3) AS mode FROM c, m""")
 def z_statistics(spark, d):
     pts = src.lineitems(spark, d)
     return grid.histogram_statistics(grid.z_histogram(pts), pts)
@@ -213,8 +213,7 @@ def tile_neighbourhood(spark, d):
 
 @query(f"WITH {AROUND}, r AS (SELECT *, sum(n) OVER (ORDER BY d2, tile_row, tile_col) AS total FROM near) SELECT tile_row, tile_col, n FROM r WHERE total <= 2000")
 def tile_eviction(spark, d):
-    total = F.sum("n").over(Window.orderBy("d2", "tile_row", "tile_col").rowsBetween(Window.unboundedPreceding, 0))
-    return around(spark, d).withColumn("total", total).where("total <= 2000").select("tile_row", "tile_col", "n")
+    return grid.within_budget(around(spark, d), ["d2", "tile_row", "tile_col"], 2000).select("tile_row", "tile_col", "n")
 
 
 @query(f"WITH {CELLS} SELECT point_id, qx, qy, qz FROM cells WHERE tile_row = 3 AND tile_col = 4")
