@@ -59,7 +59,7 @@ def side_for_density(density: Column, desired: int) -> Column:
 
 def lowres_side(tiles: Column, budget: int) -> Column:
     """Sub-cells along a tile's side so that low-resolution points of all tiles stay within a budget."""
-    return F.floor(F.sqrt(F.lit(float(budget)) / tiles)).cast("int")
+    return F.floor(F.sqrt(F.lit(float(budget)) / F.greatest(tiles, F.lit(1)))).cast("int")
 
 
 def detail_sides(valid_tiles: Column, median_count: Column) -> tuple[Column, Column]:
@@ -134,7 +134,7 @@ def histogram_statistics(histogram: DataFrame, points: DataFrame) -> DataFrame:
     mean = rows.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("mean"), F.max_by("c", F.struct("n", -F.col("bin"))).alias("mode"))
     # In a second pass the squares of deviations: nothing cancels, however far the values are from zero.
     apart = F.col("c") - F.col("mean")
-    found = rows.crossJoin(F.broadcast(mean)).agg((F.sum(F.col("n") * apart * apart) / (F.first("total") - 1)).alias("variance"), F.first("mean").alias("mean"), F.first("mode").alias("mode"))
+    found = rows.crossJoin(F.broadcast(mean)).agg(F.try_divide(F.sum(F.col("n") * apart * apart), F.first("total") - 1).alias("variance"), F.first("mean").alias("mean"), F.first("mode").alias("mode"))
     return found.select(F.round("mean", 3).alias("mean"), F.round("variance", 1).alias("variance"), F.round("mode", 3).alias("mode"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import quantize, records
-from tessera.operators import grid, surface
+from tessera.operators import grid, surface, tiled
 from tessera.sources import las, xyz
 from tessera.sources import points as src
 from tessera.sources.scratch import scratch
@@ -218,7 +218,10 @@ def tile_eviction(spark, d):
 
 @query(f"WITH {CELLS} SELECT point_id, qx, qy, qz FROM cells WHERE tile_row = 3 AND tile_col = 4")
 def tile_read(spark, d):
-    return order_cells(spark, d).where("tile_row = 3 and tile_col = 4").select("point_id", "qx", "qy", "qz")
+    """One tile of a store, by the folders and row groups that hold it."""
+    path = scratch(spark, "tiled")
+    tiled.write_tiled(src.orders(spark, d), CELL, path, SIDE)
+    return tiled.open_tiled(spark, path).read((3, 3), (4, 4)).select("point_id", "qx", "qy", "qz")
 
 
 @query(f"WITH {CHUNKS} SELECT * FROM tc")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import registered as catalogue
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
