@@ -60,3 +60,35 @@ def ramp(ratio: Column, stops: list[tuple[int, int, int]]) -> Column:
         a, b = F.element_at(values, at + 1), F.element_at(values, at + 2)
         channels.append((a + (place - at) * (b - a)).cast("int"))
     return channels[0] * 65536 + channels[1] * 256 + channels[2]
+
+
+def minmax_stretch(low: Column, high: Column) -> tuple[Column, Column]:
+    """The whole range."""
+    return low, high
+
+
+def custom_stretch(low: Column, high: Column, begin: float, end: float) -> tuple[Column, Column]:
+    """A given range, inside the actual one."""
+    return F.greatest(low, F.lit(begin)), F.least(high, F.lit(end))
+
+
+def interval_by_shift(value: Column, low: Column, high: Column, bits: int) -> Column:
+    """Bins of a power-of-two width of whole numbers, at most 2^bits of them: 0 below the stretch, the last one above."""
+    shift = F.greatest(F.length(F.bin(high - low)) - bits, F.lit(0))
+    bounded = F.least(F.greatest(value, low), high) - low
+    return F.call_function("shiftright", bounded, shift).cast("int")
+
+
+def ramp_size(quality: float) -> int:
+    """The length of a precomputed ramp for a quality from 0 to 100."""
+    return int(quality / 100 * 300)
+
+
+def cached_ramp(stops: list[tuple[int, int, int]], bins: int) -> Column:
+    """The colours of all bins of a ramp as one array; the entry behind the last repeats it, for what overflows."""
+    places = [F.lit(i / max(bins - 1, 1)) for i in range(bins)]
+    return F.array(*[ramp(p, stops) for p in [*places, places[-1]]])
+
+
+def distinct_colour(value: Column, palette: list[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in palette]), (F.pmod(value, F.lit(len(palette))) + 1).cast("int"))

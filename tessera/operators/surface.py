@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import geometry
+from tessera.operators.ordered import numbered
+
 
 def quadtree(points: DataFrame, levels: int) -> DataFrame:
     """(depth, path, n): the count of every node down to `levels`. Points are counted by leaf first, so the
@@ -47,12 +50,45 @@ def triangles(cells: DataFrame) -> DataFrame:
     return found.select("t.a", "t.b", F.col("t.c3").alias("c"))
 
 
-def slopes(cells: DataFrame) -> DataFrame:
-    """The upward component of the unit normal of each cell's triangle with its left and upper neighbours, unit
-    spacing: 1 / sqrt(1 + dx^2 + dy^2)."""
-    joined = cells.join(shifted(cells, 0, 1, "left"), ["r", "c"]).join(shifted(cells, 1, 0, "up"), ["r", "c"])
-    dx, dy = F.col("v") - F.col("left"), F.col("v") - F.col("up")
-    return joined.select("r", "c", F.round(1.0 / F.sqrt(1.0 + dx * dx + dy * dy), 9).alias("nz"))
+def cell_normals(cells: DataFrame, dx: float, dy: float) -> DataFrame:
+    """(r, c, v, nz1, nz2): the upward components of the unit normals of a cell's two triangles through its upper-left
+    corner, (corner, up, cell) and (corner, left, cell), for cells at real distances."""
+    joined = cells
+    for name, r, c in (("left", 0, 1), ("up", 1, 0), ("corner", 1, 1)):
+        joined = joined.join(shifted(cells, r, c, name), ["r", "c"])
+
+    def upward(along_x: Column, along_y: Column) -> Column:
+        return F.lit(dx * dy) / F.sqrt(F.lit((dx * dy) ** 2) + F.pow(F.lit(dy) * along_x, F.lit(2)) + F.pow(F.lit(dx) * along_y, F.lit(2)))
+
+    one = upward(F.col("up") - F.col("corner"), F.col("v") - F.col("up"))
+    two = upward(F.col("v") - F.col("left"), F.col("left") - F.col("corner"))
+    return joined.select("r", "c", "v", one.alias("nz1"), two.alias("nz2"))
+
+
+def slopes(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
+    """The larger of the two upward components at each cell: 1 where it is flat."""
+    return cell_normals(cells, dx, dy).select("r", "c", F.round(F.greatest("nz1", "nz2"), 9).alias("nz"))
+
+
+def vertices(cells: DataFrame, dx: float, dy: float) -> DataFrame:
+    """(vertex, x, y, z): the mesh's vertices, cells at real distances about the middle of the grid's extent."""
+    facts = cells.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
+    middle = lambda at, a, b, size: (F.col(at) - (F.col(a) + F.col(b)) / 2) * F.lit(size)
+    rows = cells.crossJoin(F.broadcast(facts))
+    return rows.select((F.col("r") * (1 << 20) + F.col("c")).alias("vertex"), middle("c", "c0", "c1", dx).alias("x"), middle("r", "r0", "r1", dy).alias("y"), middle("v", "v0", "v1", 1.0).alias("z"))
+
+
+def vertex_normals(faces: DataFrame, corners: DataFrame) -> DataFrame:
+    """(vertex, nx, ny, nz): the sum of the cross products of a vertex's faces, of length 1 and upward."""
+    joined = faces
+    for name in ("a", "b", "c"):
+        joined = joined.join(corners.select(F.col("vertex").alias(name), F.struct("x", "y", "z").alias(f"p{name}")), name)
+    at = lambda p: tuple(F.col(f"{p}.{axis}") for axis in "xyz")
+    normal = geometry.cross(geometry.minus(at("pb"), at("pa")), geometry.minus(at("pc"), at("pa")))
+    flipped = [F.when(normal[2] < 0, -v).otherwise(v) for v in normal]
+    spread = joined.select(F.explode(F.array("a", "b", "c")).alias("vertex"), *[v.alias(n) for n, v in zip(("x", "y", "z"), flipped, strict=True)])
+    sums = spread.groupBy("vertex").agg(*[F.sum(a).alias(a) for a in "xyz"])
+    return sums.select("vertex", *[v.alias(n) for n, v in zip(("nx", "ny", "nz"), geometry.unit((F.col("x"), F.col("y"), F.col("z"))), strict=True)])
 
 
 def neighbour_sums(cells: DataFrame, radius: int) -> DataFrame:
@@ -90,6 +126,19 @@ def segments(cells: DataFrame, tolerance: int, width: int) -> DataFrame:
     return cells.join(labels, "id").select("r", "c", "label")
 
 
+def large_segments(labels: DataFrame, least: int) -> DataFrame:
+    """(r, c, segment, size): segments of fewer cells are 0, the others numbered from 1 in the order of their labels."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    kept = numbered(sizes.where(F.col("size") >= least).select("label"), ["label"]).select("label", (F.col("position") + 1).alias("segment"))
+    return labels.join(sizes, "label").join(kept, "label", "left").select("r", "c", F.coalesce("segment", F.lit(0)).alias("segment"), "size")
+
+
+def leaf_report(leaves: DataFrame) -> DataFrame:
+    """Points to a unit of the root's area over the leaves: all points over all area, median, mean, least and most."""
+    density, area = F.col("n") * F.pow(F.lit(4.0), "depth"), F.pow(F.lit(0.25), "depth")
+    return leaves.agg((F.sum("n") / F.sum(area)).alias("naive"), F.median(density).alias("median"), F.avg(density).alias("mean"), F.min(density).alias("least"), F.max(density).alias("most"))
+
+
 def inside_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Even-odd rule by ray casting."""
     crossings = F.lit(0)

@@ -436,7 +436,7 @@ def vertex_faces(spark, d):
     return t.select(F.explode(F.array("a", "b", "c")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("faces"))
 
 
-@query(f"WITH {JOINED} SELECT r, c, round(1.0::DOUBLE / sqrt(1.0::DOUBLE + (v - l) * (v - l) + (v - u) * (v - u)), 9) AS nz FROM j WHERE l IS NOT NULL AND u IS NOT NULL")
+@query(f"WITH {JOINED} SELECT r, c, round(greatest(1.0::DOUBLE / sqrt(1.0::DOUBLE + pow(u - k, 2) + pow(v - u, 2)), 1.0::DOUBLE / sqrt(1.0::DOUBLE + pow(v - l, 2) + pow(l - k, 2))), 9) AS nz FROM j WHERE l IS NOT NULL AND u IS NOT NULL AND k IS NOT NULL")
 def slope(spark, d):
     return surface.slopes(surface_cells(spark, d))
 

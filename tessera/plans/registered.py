@@ -1,6 +1,6 @@
 """All registered point-cloud queries and their SQL: importing the modules registers them."""
 
-from tessera.plans import catalogue, tiles
+from tessera.plans import catalogue, shapes, tiles
 
-MODULES = (catalogue, tiles)
+MODULES = (catalogue, tiles, shapes)
 QUERIES, SQL = catalogue.QUERIES, catalogue.SQL
