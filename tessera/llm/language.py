@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_slices, written
+from tessera.llm.common import in_slices, row_keys, written
 
 #: Texts of each language that are fitted, and of all languages (documented bounds of the training sample).
 SAMPLE_PER_LANGUAGE, SAMPLE = 400, 16_000
@@ -115,22 +115,23 @@ def solve(x: np.ndarray, languages: list[str]) -> LanguageModel:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from a bounded sample of the labelled rows: for each language the
-    SAMPLE_PER_LANGUAGE rows whose hashed ids are smallest (fewer where languages are so many that these were more
-    than SAMPLE), of a long text one of its blocks. Rows without id, text with
+    SAMPLE_PER_LANGUAGE different rows (by id and text) whose hashes are smallest (fewer where languages are so many that these
+    were more than SAMPLE), of a long text one of its blocks. Copies of a row count once. Rows without id, text with
     a letter, or language aren't used. What reaches the driver is 1 KB of presence bits for each
     sampled text. Without any usable row the model knows no language and answers `und`."""
-    known = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("tessera_id"), F.col(lang_col).alias("tessera_lang"))
+    text = F.col(text_col).cast("string")
+    known = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    known = known.select(*row_keys(id_col, text_col), F.col(lang_col).alias("tessera_lang")).distinct()
     # Of more than SAMPLE languages the most frequent are learned.
     counts = written(known.groupBy("tessera_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tessera_lang").limit(SAMPLE), "languages")
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, counts.count())))
     # Hashes are spread evenly, so rows under this bound are a few more than are wanted: no task gets all of a language.
-    hashed = F.xxhash64("tessera_id")
     bound = (2 * each + 50) / F.col("n")
-    few = known.join(F.broadcast(counts), "tessera_lang").where((hashed / 2.0**64 + 0.5) < bound).drop("n").distinct()
-    w = Window.partitionBy("tessera_lang").orderBy(hashed, "tessera_id")
+    few = known.join(F.broadcast(counts), "tessera_lang").where((F.col("k1") / 2.0**64 + 0.5) < bound).drop("n")
+    w = Window.partitionBy("tessera_lang").orderBy("k1", "k2")
     picked = few.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each)
     # A bounded table: languages times the sample size; written once, for the join below.
-    sample = written(picked.drop("place"), "language-sample")
+    sample = written(picked.select(F.col("k1").alias("tessera_k1"), F.col("k2").alias("tessera_k2"), "tessera_lang"), "language-sample")
 
     def bits(rows: pa.RecordBatch) -> pa.RecordBatch:
         packed = []
@@ -139,10 +140,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             packed.append(np.packbits(presence(parts[k % len(parts)])).tobytes() if parts else None)
         return pa.record_batch([rows.column(0), rows.column(1), pa.array(packed, pa.binary())], ["k", "lang", "bits"])
 
-    few = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).join(
-        F.broadcast(sample), F.expr("id = tessera_id and lang = tessera_lang"), "left_semi"
-    )
-    rows = few.select(F.xxhash64("id").alias("k"), "lang", "text").mapInArrow(in_slices(bits), "k long, lang string, bits binary")
+    rows = df.select(*row_keys(id_col, text_col), text.alias("text"), F.col(lang_col).alias("lang"))
+    few = rows.join(F.broadcast(sample), F.expr("k1 = tessera_k1 and k2 = tessera_k2 and lang = tessera_lang"), "left_semi")
+    rows = few.select(F.col("k1").alias("k"), "lang", "text").mapInArrow(in_slices(bits), "k long, lang string, bits binary").dropDuplicates(["k", "lang"])
     got = sorted((r.lang, r.k, bytes(r.bits)) for r in rows.where("bits is not null").collect())
     if not got:
         return LanguageModel((), *(np.zeros((0, n), np.float32) for n in (BUCKETS, 0, 0)))

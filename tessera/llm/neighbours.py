@@ -31,7 +31,7 @@ REVERSE = 40
 SETTLED, ROUNDS = 0.03, 12
 #: Best pairs that a member of a local join reports in a round.
 REPORT = 6
-BEAM, EXPAND = 160, 80
+BEAM = 160
 #: The walk ends when so small a share of the beams' places is new, or after so many hops.
 ARRIVED, HOPS = 0.02, 10
 #: Of all vectors, the share that may be longer than the length made equal to; in the graph at most so many times.
@@ -182,11 +182,11 @@ def build(vectors: DataFrame, placed: DataFrame, blocks: int, nodes: int, dims:
     return graph
 
 
-def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, dims: int) -> DataFrame:
+def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, dims: int, wide: int = BEAM) -> DataFrame:
     """(query, w, s): the beam of each query (a node) after a greedy search from its own node.
 
-    A hop expands the EXPAND best nodes of the beam that haven't been expanded; what hasn't been seen is
-    scored, block by block of the nodes' ids, and the BEAM best stay. It goes on until hardly anything new comes
+    A hop expands half a beam, `wide`, of the best nodes in it that haven't been expanded; what hasn't been seen is
+    scored, block by block of the nodes' ids, and the best stay. It goes on until hardly anything new comes
     into the beams."""
     near = written(neighbourhoods(graph, -1), "near")
     asked = written(starts.join(placed, F.col("query") == F.col("node")).select("query", F.col("v").alias("q")), "asked")
@@ -202,8 +202,8 @@ def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, di
             group = np.asarray(group)
             # The coordinate that evens lengths belongs to the graph, not to a query's scores.
             values = v[np.searchsorted(ids, group), :-1] @ np.frombuffer(q, np.float16)[:-1].astype(np.float32)
-            if len(group) > BEAM:
-                top = np.argpartition(-values, BEAM - 1)[:BEAM]
+            if len(group) > wide:
+                top = np.argpartition(-values, wide - 1)[:wide]
                 group, values = group[top], values[top]
             query.append(np.full(len(group), one))
             w.append(group)
@@ -213,7 +213,7 @@ def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, di
     order = Window.partitionBy("query").orderBy(F.desc("s"), "w")
     for _ in range(HOPS):
         ranked = beam.withColumn("turn", F.row_number().over(Window.partitionBy("query", "expanded").orderBy(F.desc("s"), "w")))
-        marked = written(ranked.withColumn("now", ~F.col("expanded") & (F.col("turn") <= EXPAND)).drop("turn"), "marked")
+        marked = written(ranked.withColumn("now", ~F.col("expanded") & (F.col("turn") <= wide // 2)).drop("turn"), "marked")
         met = marked.where("now").join(near, F.col("w") == F.col("centre")).select("query", F.explode("members").alias("w")).distinct()
         fresh = written(met.join(seen, ["query", "w"], "left_anti"), "fresh")
         seen = written(seen.union(fresh), "seen")
@@ -221,7 +221,7 @@ def walk(graph: DataFrame, placed: DataFrame, starts: DataFrame, blocks: int, di
         scored = pairs.groupBy("block").cogroup(placed.groupBy("home")).applyInPandas(score, "query long, w long, s float")
         old = marked.select("query", "w", "s", (F.col("expanded") | F.col("now")).alias("expanded"))
         merged = old.union(scored.withColumn("expanded", F.lit(False)))
-        beam = written(merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= BEAM).drop("place"), "beam")
+        beam = written(merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wide).drop("place"), "beam")
         forget(graph.sparkSession)
         if (beam.agg(F.avg((~F.col("expanded")).cast("int"))).first()[0] or 0) <= ARRIVED:
             break
@@ -256,7 +256,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     blocks = max(1, -(-nodes // BLOCK))
     placed = written(vectors.select("node", "v", block_of("node", blocks).alias("home")), "placed")
     graph = build(vectors, placed, blocks, nodes, dims)
-    found = walk(graph, placed, starts, blocks, dims)
+    found = walk(graph, placed, starts, blocks, dims, max(BEAM, 4 * k))
     # Half precision can turn near ties: the whole beam is scored again.
     exact = (
         found.select("query", "w").join(groups.select(F.col("node").alias("query"), F.col("x").alias("qx")), "query")

@@ -15,13 +15,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import scratch, slices
+from tessera.sources.las import filesystem
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, of a Zstandard
 #: frame, and of a raw dictionary; all little-endian.
@@ -183,7 +183,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs, root = filesystem(path)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
         number, done, out, count = 0, [], io.BytesIO(), 0
 
@@ -232,7 +232,7 @@ def read_archives(files: DataFrame, path: str) -> DataFrame:
 
         for rows in slices(batches, 1):
             file = rows.column(0)[0].as_py()
-            fs, folder = pyarrow.fs.FileSystem.from_uri(root)
+            fs, folder = filesystem(root)
             with fs.open_input_stream(f"{folder}/{file}", compression=None) as f:
                 data = f.read()
             out, held = [], 0

@@ -644,3 +644,25 @@ def test_packing_finds_near_documents_among_many(spark, monkeypatch):
     whole = share()
     print("pairs that share a window:", dealt, "in one index:", whole)
     assert dealt >= 0.9 * whole > 0.5
+
+
+def test_language_sample_of_repeated_rows(spark, documents, monkeypatch):
+    """Copies of rows neither lose a language nor enlarge the sample; texts that share an id are rows of their own."""
+    monkeypatch.setattr(language, "SAMPLE_PER_LANGUAGE", 20)
+    sizes = []
+    monkeypatch.setattr(language, "solve", lambda x, names: sizes.append(Counter(names)) or language.LanguageModel(tuple(sorted(set(names))), *(np.zeros((0, n), np.float32) for n in (1, 0, 0))))
+    few = documents.select("doc_id", "text", "lang").where("text is not null").limit(150)
+    copies = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("copy")
+    one_id = few.withColumn("doc_id", F.lit(7).cast("long"))
+    for df in (few, copies, one_id):
+        language.fit(df)
+    assert sizes[0] == sizes[1] and all(0 < n <= 20 for s in sizes for n in s.values())
+    assert set(sizes[2]) == set(sizes[0]) == {r.lang for r in few.select("lang").distinct().collect()} - {None}
+
+
+def test_nearest_of_many(spark):
+    """More neighbours than a usual beam holds: all come."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)], "vec_id long, embedding array<float>").repartition(3)
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, k=250)
+    assert {(r.query_id, r["count"]) for r in got.groupBy("query_id").count().collect()} == {(i, 250) for i in range(0, 700, 100)}
