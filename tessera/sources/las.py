@@ -191,6 +191,40 @@ def preview(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
     return headers(spark, source).select("path", F.concat(F.lit("LAS "), F.col("version"), F.lit(", format "), F.col("point_format"), F.lit(", "), F.format_number("n_points", 0), F.lit(" points, "), extent).alias("line"))
 
 
+def record_range(r: dict) -> np.ndarray:
+    """The records `start` to `start + n` of a file, as its header r describes them."""
+    with opened(r["path"]) as f:
+        f.seek(r["data_offset"] + r["start"] * r["record_length"])
+        raw = f.read(r["n"] * r["record_length"])
+    if len(raw) < r["n"] * r["record_length"]:
+        raise ValueError(f"{r['path']} ends before its last point")
+    return np.frombuffer(raw, layout(r["point_format"], r["record_length"]))
+
+
+def field_of(name: str, rows: np.ndarray, r: dict) -> pa.Array:
+    """One of FIELDS of a range of records; null where the format lacks it."""
+    have, wide, kind = rows.dtype.names, r["point_format"] >= 6, arrow_schema(f"{name} {FIELDS[name]}").field(0).type
+    n = len(rows)
+    if name == "path":
+        return pa.array([r["path"]] * n, kind)
+    if name in ("point_index", "byte_offset"):
+        index = np.arange(r["start"], r["start"] + n)
+        return pa.array(index if name == "point_index" else r["data_offset"] + index * r["record_length"], kind)
+    if name in ("x", "y", "z"):
+        axis = "xyz".index(name)
+        return pa.array(rows[f"q{name}"] * r["scale"][axis] + r["offset"][axis], kind)
+    packed = {
+        "return_number": ("options", 0, 15 if wide else 7), "return_count": ("options", 4 if wide else 3, 15 if wide else 7),
+        "scan_direction": ("flags" if wide else "options", 6, 1), "flight_edge": ("flags" if wide else "options", 7, 1),
+    }
+    if name == "classification" and not wide:
+        packed[name] = ("class_bits", 0, 31)
+    if name in packed:
+        source_, shift, mask = packed[name]
+        return pa.array((rows[source_].astype(np.int32) >> shift) & mask, kind)
+    return pa.array(np.ascontiguousarray(rows[name]).astype(np.float64 if name == "gps_time" else np.int32), kind) if name in have else pa.nulls(n, kind)
+
+
 def read_las(spark: SparkSession, source: str | Sequence[str], fields: Sequence[str] = POINTS, points: DataFrame | None = None) -> DataFrame:
     """The points of .las files: the wanted FIELDS, the only ones that are decoded; null where a format lacks one.
 
@@ -208,38 +242,11 @@ def read_las(spark: SparkSession, source: str | Sequence[str], fields: Sequence[
     schema = ", ".join(f"{f} {FIELDS[f]}" for f in fields)
     shape = arrow_schema(schema)
 
-    def column(name: str, rows: np.ndarray, r: dict) -> pa.Array:
-        have, wide, kind = rows.dtype.names, r["point_format"] >= 6, shape.field(name).type
-        n = len(rows)
-        if name == "path":
-            return pa.array([r["path"]] * n, kind)
-        if name in ("point_index", "byte_offset"):
-            index = np.arange(r["start"], r["start"] + n)
-            return pa.array(index if name == "point_index" else r["data_offset"] + index * r["record_length"], kind)
-        if name in ("x", "y", "z"):
-            axis = "xyz".index(name)
-            return pa.array(rows[f"q{name}"] * r["scale"][axis] + r["offset"][axis], kind)
-        packed = {
-            "return_number": ("options", 0, 15 if wide else 7), "return_count": ("options", 4 if wide else 3, 15 if wide else 7),
-            "scan_direction": ("flags" if wide else "options", 6, 1), "flight_edge": ("flags" if wide else "options", 7, 1),
-        }
-        if name == "classification" and not wide:
-            packed[name] = ("class_bits", 0, 31)
-        if name in packed:
-            source_, shift, mask = packed[name]
-            return pa.array((rows[source_].astype(np.int32) >> shift) & mask, kind)
-        return pa.array(np.ascontiguousarray(rows[name]).astype(np.float64 if name == "gps_time" else np.int32), kind) if name in have else pa.nulls(n, kind)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                with opened(r["path"]) as f:
-                    f.seek(r["data_offset"] + r["start"] * r["record_length"])
-                    raw = f.read(r["n"] * r["record_length"])
-                if len(raw) < r["n"] * r["record_length"]:
-                    raise ValueError(f"{r['path']} ends before its last point")
-                rows = np.frombuffer(raw, layout(r["point_format"], r["record_length"]))
-                yield pa.RecordBatch.from_arrays([column(name, rows, r) for name in fields], schema=shape)
+                rows = record_range(r)
+                yield pa.RecordBatch.from_arrays([field_of(name, rows, r) for name in fields], schema=shape)
 
     return wanted.mapInArrow(run, schema)
 
