@@ -72,11 +72,23 @@ def custom_stretch(low: Column, high: Column, begin: float, end: float) -> tuple
     return F.greatest(low, F.lit(begin)), F.least(high, F.lit(end))
 
 
-def interval_by_shift(value: Column, low: Column, high: Column, bits: int) -> Column:
-    """Bins of a power-of-two width of whole numbers, at most 2^bits of them: 0 below the stretch, the last one above."""
-    shift = F.greatest(F.length(F.bin(high - low)) - bits, F.lit(0))
-    bounded = F.least(F.greatest(value, low), high) - low
-    return F.call_function("shiftright", bounded, shift).cast("int")
+def interval_shift(actual: tuple[Column, Column], stretch: tuple[Column, Column], bins: int, scaled: bool = True) -> Column:
+    """By how many bits whole numbers are shifted to get their bin: the width is a power of two, so that about `bins` bins cover the stretch
+    (or with scaled=False the actual range), but no more than there are values."""
+    span = (actual[1] - actual[0]).cast("double")
+    power = lambda x: F.ceil(F.log2(x)).cast("int")
+    wanted = F.floor(F.lit(float(bins)) / ((stretch[1] - stretch[0]) / span)) if scaled else F.lit(float(bins))
+    return F.when(span > 0, F.greatest(power(span) - F.least(power(wanted), power(span)), F.lit(0))).otherwise(F.lit(0))
+
+
+def interval_map(value: Column, actual: tuple[Column, Column], stretch: tuple[Column, Column], shift: Column) -> tuple[Column, Column]:
+    """The bin of a whole number, counted from that of the actual minimum, and its ratio: 0 below the stretch's first bin, 1 above
+    its last one, in equal steps between them."""
+    down = lambda v: F.call_function("shiftright", v, shift)
+    index = down(value) - down(actual[0])
+    first, last = down(stretch[0]) - down(actual[0]), down(stretch[1]) - down(actual[0])
+    inside = F.coalesce(F.try_divide((index - first).cast("double"), (last - first).cast("double")), F.lit(0.0))
+    return index, F.when(index < first, F.lit(0.0)).when(index > last, F.lit(1.0)).otherwise(inside)
 
 
 def ramp_size(quality: float) -> int:

@@ -1,7 +1,7 @@
 """Extents, grids, cells, density, tiles and their index, as DataFrame transformations.
 
-Parameters that come from the data (extent, grid) are one-row DataFrames that are cross-joined, so each query
-is one lazy plan. Orders over all tiles or chunks go by ranges (see `ordered`); no window lacks a partition.
+Parameters that come from the data (extent, grid) are one-row DataFrames that are cross-joined. Orders over all tiles or
+chunks go by ranges (see `ordered`), which are written when a query is built; no window over rows lacks a partition.
 """
 
 from __future__ import annotations
@@ -105,14 +105,14 @@ def unpacked_id(tile_id: Column) -> tuple[Column, Column]:
     return F.shiftright(tile_id, 16), tile_id.bitwiseAND(F.lit(0xFFFF))
 
 
-def lowres(cells: DataFrame, side: int) -> DataFrame:
-    """The lowest point (then smallest id) of each of side x side sub-cells of a tile; what lies beyond the last
+def lowres(cells: DataFrame, side: int, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
+    """The lowest point (then smallest by `keys`, which tell points apart) of each of side x side sub-cells of a tile; what lies beyond the last
     sub-cell is no candidate."""
     sub = lambda q, low, at, cs: quotient(F.col(q) - F.col(low) - F.col(at) * F.col(cs), F.greatest(F.lit(1).cast("bigint"), quotient(F.col(cs), side)))
     placed = cells.withColumn("sub_row", sub("qy", "mny", "tile_row", "csy")).withColumn("sub_col", sub("qx", "mnx", "tile_col", "csx"))
-    best = F.min(F.struct("qz", "point_id")).alias("best")
+    best = F.min(F.struct("qz", *keys)).alias("best")
     found = placed.where((F.col("sub_row") < side) & (F.col("sub_col") < side)).groupBy("tile_row", "tile_col", "sub_row", "sub_col").agg(best)
-    return found.select("tile_row", "tile_col", "sub_row", "sub_col", "best.point_id", "best.qz")
+    return found.select("tile_row", "tile_col", "sub_row", "sub_col", *[f"best.{k}" for k in keys], "best.qz")
 
 
 def z_histogram(points: DataFrame, bits: int = 10) -> DataFrame:

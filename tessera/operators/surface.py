@@ -70,12 +70,18 @@ def slopes(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     return cell_normals(cells, dx, dy).select("r", "c", F.round(F.greatest("nz1", "nz2"), 9).alias("nz"))
 
 
-def vertices(cells: DataFrame, dx: float, dy: float) -> DataFrame:
-    """(vertex, x, y, z): the mesh's vertices, cells at real distances about the middle of the grid's extent."""
-    facts = cells.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
-    middle = lambda at, a, b, size: (F.col(at) - (F.col(a) + F.col(b)) / 2) * F.lit(size)
+def vertices(cells: DataFrame, dx: float, dy: float, mode: float = 0.0) -> DataFrame:
+    """(vertex, x, y, z): the mesh's vertices about the middle of the raster's extent; a cell lies where it begins. Heights are above the
+    lowest one, less that of the centre of mass, `mode`."""
+    facts = cells.agg(F.min("c").alias("c0"), (F.max("c") - F.min("c") + 1).alias("nc"), F.min("r").alias("r0"), (F.max("r") - F.min("r") + 1).alias("nr"), F.min("v").alias("v0"))
+    at = lambda name, low, n, size: (F.col(name) - F.col(low)) / F.col(n) * (F.col(n) * F.lit(size)) - F.col(n) * F.lit(size) / 2
     rows = cells.crossJoin(F.broadcast(facts))
-    return rows.select((F.col("r") * (1 << 20) + F.col("c")).alias("vertex"), middle("c", "c0", "c1", dx).alias("x"), middle("r", "r0", "r1", dy).alias("y"), middle("v", "v0", "v1", 1.0).alias("z"))
+    return rows.select((F.col("r") * (1 << 20) + F.col("c")).alias("vertex"), at("c", "c0", "nc", dx).alias("x"), at("r", "r0", "nr", dy).alias("y"), (F.col("v") - F.col("v0") - F.lit(mode)).alias("z"))
+
+
+def with_back_faces(faces: DataFrame) -> DataFrame:
+    """Each triangle (a, b, c), and behind it the one that turns the other way."""
+    return faces.union(faces.select("a", F.col("c").alias("b"), F.col("b").alias("c")))
 
 
 def vertex_normals(faces: DataFrame, corners: DataFrame) -> DataFrame:
@@ -99,44 +105,15 @@ def neighbour_sums(cells: DataFrame, radius: int) -> DataFrame:
     return cells.select("r", "c").join(sums, ["r", "c"])
 
 
-def segments(cells: DataFrame, tolerance: int, width: int) -> DataFrame:
-    """(r, c, label): connected cells whose values differ by at most the tolerance between neighbours (4 of them); the label is
-    the smallest scan index r * width + c of the segment. Labels spread by joins until none changes; each
-    round is checkpointed where a checkpoint folder is set."""
-    spark = cells.sparkSession
-    cells = cells.withColumn("id", F.col("r") * width + F.col("c"))
-    edges = None
-    for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-        other = cells.select((F.col("r") + r).alias("r"), (F.col("c") + c).alias("c"), F.col("v").alias("w"), F.col("id").alias("to"))
-        found = cells.join(other, ["r", "c"]).where(F.abs(F.col("v") - F.col("w")) <= tolerance).select(F.col("id").alias("a"), F.col("to").alias("b"))
-        edges = found if edges is None else edges.union(found)
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    edges = keep(edges)
-    labels, total = keep(cells.select("id", F.col("id").alias("label"))), None
-    while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("other"))
-        # A label is itself a cell: following it halves long ways.
-        jumped = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("other", "label")).alias("label"))
-        ahead = jumped.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = keep(jumped.join(ahead, "label").select("id", F.col("next").alias("label")))
-        now = labels.agg(F.sum("label")).first()[0]
-        if now == total:
-            break
-        total = now
-    return cells.join(labels, "id").select("r", "c", "label")
-
-
-def large_segments(labels: DataFrame, least: int) -> DataFrame:
-    """(r, c, segment, size): segments of fewer cells are 0, the others numbered from 1 in the order of their labels."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    kept = numbered(sizes.where(F.col("size") >= least).select("label"), ["label"]).select("label", (F.col("position") + 1).alias("segment"))
-    return labels.join(sizes, "label").join(kept, "label", "left").select("r", "c", F.coalesce("segment", F.lit(0)).alias("segment"), "size")
-
-
-def leaf_report(leaves: DataFrame) -> DataFrame:
-    """Points to a unit of the root's area over the leaves: all points over all area, median, mean, least and most."""
-    density, area = F.col("n") * F.pow(F.lit(4.0), "depth"), F.pow(F.lit(0.25), "depth")
-    return leaves.agg((F.sum("n") / F.sum(area)).alias("naive"), F.median(density).alias("median"), F.avg(density).alias("mean"), F.min(density).alias("least"), F.max(density).alias("most"))
+def leaf_report(leaves: DataFrame, points: DataFrame) -> DataFrame:
+    """Points to a unit of area: naive, of all points over their extent; over the leaves the mean, the least, the most, and as median the
+    element at half their number in the order of densities."""
+    facts = points.agg(F.count("*").alias("all"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).withColumn("side", F.greatest("w", "h"))
+    density = F.col("n") * F.pow(F.pow(F.lit(2.0), "depth") / F.col("side"), F.lit(2))
+    placed = numbered(leaves.crossJoin(F.broadcast(facts)).select(density.alias("density"), "path"), ["density", "path"])
+    median = F.max(F.when(F.col("position") == F.expr("total div 2"), F.col("density")))
+    found = placed.agg(median.alias("median"), F.avg("density").alias("mean"), F.min("density").alias("least"), F.max("density").alias("most"))
+    return facts.select((F.col("all") / (F.col("w") * F.col("h"))).alias("naive")).crossJoin(found)
 
 
 def inside_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import grid
+from tessera.operators.ordered import PART, PLACE, parts_in_order
 
 #: Tile rows in a band.
 BAND = 4
@@ -56,12 +57,14 @@ def write_tiled(points: DataFrame, cell: tuple[int, int], path: str, side: int |
     """Store points (point_id, x, y, z, qx, qy, qz) in tiles of a cell size. `side` sub-cells along a tile have a low-resolution
     point each; by default as many as LOWRES_BUDGET allows. An empty table makes a store without points."""
     definition = grid.grid(points, *cell)
-    cells = grid.celled(points, definition)
-    counts = grid.density(cells)
-    low = grid.lowres(cells, side or low_side(definition, counts)).select("tile_row", "tile_col", "point_id", F.lit(True).alias("lowres"))
-    marked = cells.join(low, ["tile_row", "tile_col", "point_id"], "left").withColumns({"lowres": F.coalesce("lowres", F.lit(False)), "band": F.floor(F.col("tile_row") / BAND).cast("int")})
-    stored = marked.select("point_id", "x", "y", "z", "qx", "qy", "qz", "tile_row", "tile_col", "lowres", "band")
-    stored.repartitionByRange("lowres", "tile_row", "tile_col").sortWithinPartitions("lowres", "tile_row", "tile_col", "point_id").write.partitionBy("lowres", "band").parquet(f"{path}/points")
+    order = ["tile_row", "tile_col", "point_id", "qx", "qy", "qz"]
+    # Ids may repeat: a row's part and place tell it apart, and split a tile of very many points over tasks.
+    cells = parts_in_order(grid.celled(points, definition), order)
+    low = grid.lowres(cells, side or low_side(definition, grid.density(cells)), ("point_id", PART, PLACE)).select(PART, PLACE, F.lit(True).alias("lowres"))
+    marked = cells.join(low, [PART, PLACE], "left").withColumns({"lowres": F.coalesce("lowres", F.lit(False)), "band": F.floor(F.col("tile_row") / BAND).cast("int")})
+    stored = marked.select("point_id", "x", "y", "z", "qx", "qy", "qz", "tile_row", "tile_col", "lowres", "band", PART, PLACE)
+    keys = ["lowres", *order, PART, PLACE]
+    stored.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(PART, PLACE).write.partitionBy("lowres", "band").parquet(f"{path}/points")
     definition.write.parquet(f"{path}/definition")
     # Counts are those of the rows that were stored.
     kept = spark_points(points.sparkSession, path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import quantize, records
-from tessera.operators import grid, surface, tiled
+from tessera.operators import grid, segments, surface, tiled
 from tessera.sources import las, xyz
 from tessera.sources import points as src
 from tessera.sources.scratch import scratch
@@ -453,12 +453,12 @@ reach AS (SELECT r * 4096 + c AS id, r * 4096 + c AS label FROM rc UNION SELECT
 
 @query(f"{SEG} SELECT id // 4096 AS r, id % 4096 AS c, label FROM seg")
 def segmentation(spark, d):
-    return surface.segments(surface_cells(spark, d), 10, 4096)
+    return segments.segments(surface_cells(spark, d), 10, 4096, tile=16).drop("size")
 
 
 @query(f"{SEG} SELECT label, count(*) AS cells FROM seg GROUP BY label")
 def segment_sizes(spark, d):
-    return surface.segments(surface_cells(spark, d), 10, 4096).groupBy("label").agg(F.count("*").alias("cells"))
+    return segments.segments(surface_cells(spark, d), 10, 4096, tile=16).groupBy("label").agg(F.count("*").alias("cells"))
 
 
 @query("SELECT o_custkey AS k, min(o_orderkey) AS first_id FROM orders GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, records
-from tessera.operators import surface
+from tessera.operators import segments, surface
 from tessera.plans.catalogue import CUST, JOINED, LEAVES, LEVELS, LINE, PTS, SEG, TRI, ramp_sql, STOPS, query, surface_cells
 from tessera.sources import las, xyz
 from tessera.sources import points as src
@@ -68,14 +68,19 @@ def base64_names(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("point_id"), geometry.safe_base64(F.col("c_name").cast("binary")).alias("safe"))
 
 
-@query(f"WITH {LINE}, f AS (SELECT greatest(min(qz), 2000000) AS lo, least(max(qz), 8000000) AS hi FROM pts) SELECT (least(greatest(qz, lo), hi) - lo) >> greatest(length(bin(hi - lo)) - 6, 0) AS bin, count(*) AS n FROM pts, f GROUP BY 1")
+@query(f"""WITH {LINE}, f AS (SELECT min(qz) AS a, max(qz) AS b, greatest(min(qz), 2000000) AS lo, least(max(qz), 8000000) AS hi FROM pts),
+ s AS (SELECT *, CAST(ceil(log2(b - a)) AS INTEGER) AS p, floor(64 / ((hi - lo) / (b - a)::DOUBLE)) AS k FROM f), t AS (SELECT *, greatest(p - least(CAST(ceil(log2(k)) AS INTEGER), p), 0) AS s FROM s),
+ i AS (SELECT (qz >> s) - (a >> s) AS bin, (lo >> s) - (a >> s) AS first, (hi >> s) - (a >> s) AS last FROM pts, t)
+ SELECT bin, round(max(CASE WHEN bin < first THEN 0 WHEN bin > last THEN 1 ELSE (bin - first) / (last - first)::DOUBLE END), 9) AS ratio, count(*) AS n FROM i GROUP BY bin""")
 def interval_by_shift(spark, d):
-    """Whole heights in bins of a power-of-two width, over a custom stretch."""
+    """Whole heights in bins of a power-of-two width, with their place in a custom stretch."""
     pts = src.lineitems(spark, d)
     low, high = records.custom_stretch(F.min("qz"), F.max("qz"), 2_000_000, 8_000_000)
-    facts = pts.agg(low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"))
-    bin_ = records.interval_by_shift(F.col("qz"), F.col("lo"), F.col("hi"), 6)
-    return pts.crossJoin(F.broadcast(facts)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    facts = pts.agg(F.min("qz").alias("a"), F.max("qz").alias("b"), low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"))
+    actual, stretch = (F.col("a"), F.col("b")), (F.col("lo"), F.col("hi"))
+    rows = pts.crossJoin(F.broadcast(facts.withColumn("s", records.interval_shift(actual, stretch, 64))))
+    index, ratio = records.interval_map(F.col("qz"), actual, stretch, F.col("s"))
+    return rows.select(index.alias("bin"), ratio.alias("ratio")).groupBy("bin").agg(F.round(F.max("ratio"), 9).alias("ratio"), F.count("*").alias("n"))
 
 
 @query(f"WITH {CUST}, f AS (SELECT min(y) AS lo, max(y) AS hi FROM pts), b AS (SELECT point_id, least(CAST(floor((y - lo) / (hi - lo) * 32) AS INTEGER), 31) AS bin FROM pts, f), r AS (SELECT point_id, bin / 31.0::DOUBLE * 3 AS p FROM b), k AS (SELECT point_id, p, least(CAST(floor(p) AS INTEGER), 2) AS k FROM r) SELECT point_id, {ramp_sql(0)} * 65536 + {ramp_sql(1)} * 256 + {ramp_sql(2)} AS rgb FROM k")
@@ -102,13 +107,14 @@ def slope_spaced(spark, d):
     return surface.slopes(surface_cells(spark, d), 2.0, 3.0)
 
 
-VERTEX = f"""{TRI}, e AS (SELECT min(c) AS c0, max(c) AS c1, min(r) AS r0, max(r) AS r1, min(v) AS v0, max(v) AS v1 FROM rc),
- vx AS (SELECT r * 1048576 + c AS vertex, (c - (c0 + c1) / 2.0::DOUBLE) * 2 AS x, (r - (r0 + r1) / 2.0::DOUBLE) * 3 AS y, v - (v0 + v1) / 2.0::DOUBLE AS z FROM rc, e)"""
+MODE = 12.0
+VERTEX = f"""{TRI}, e AS (SELECT min(c) AS c0, max(c) AS c1, min(r) AS r0, max(r) AS r1, min(v) AS v0 FROM rc),
+ vx AS (SELECT r * 1048576 + c AS vertex, (c - c0) / (c1 - c0 + 1)::DOUBLE * ((c1 - c0 + 1) * 2) - (c1 - c0 + 1) * 2 / 2.0::DOUBLE AS x, (r - r0) / (r1 - r0 + 1)::DOUBLE * ((r1 - r0 + 1) * 3) - (r1 - r0 + 1) * 3 / 2.0::DOUBLE AS y, v - v0 - {MODE}::DOUBLE AS z FROM rc, e)"""
 
 
 @query(f"WITH {VERTEX} SELECT vertex, x, y, z FROM vx")
 def mesh_vertices(spark, d):
-    return surface.vertices(surface_cells(spark, d), 2.0, 3.0)
+    return surface.vertices(surface_cells(spark, d), 2.0, 3.0, MODE)
 
 
 @query(f"""WITH {VERTEX}, f AS (SELECT a, b, c3, (q.y - p.y) * (s.z - p.z) - (q.z - p.z) * (s.y - p.y) AS nx, (q.z - p.z) * (s.x - p.x) - (q.x - p.x) * (s.z - p.z) AS ny, (q.x - p.x) * (s.y - p.y) - (q.y - p.y) * (s.x - p.x) AS nz
@@ -117,19 +123,21 @@ def mesh_vertices(spark, d):
  SELECT vertex, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) AS nx, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 6) AS ny, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) AS nz FROM t""")
 def vertex_normals(spark, d):
     cells = surface_cells(spark, d)
-    found = surface.vertex_normals(surface.triangles(cells), surface.vertices(cells, 2.0, 3.0))
+    found = surface.vertex_normals(surface.triangles(cells), surface.vertices(cells, 2.0, 3.0, MODE))
     return found.select("vertex", *[F.round(n, 6).alias(n) for n in ("nx", "ny", "nz")])
 
 
 @query(f"{SEG}, z AS (SELECT label, count(*) AS size FROM seg GROUP BY label), k AS (SELECT label, row_number() OVER (ORDER BY label) AS segment FROM z WHERE size >= 3) SELECT id // 4096 AS r, id % 4096 AS c, coalesce(segment, 0) AS segment, size FROM seg JOIN z USING (label) LEFT JOIN k USING (label)")
 def large_segments(spark, d):
-    return surface.large_segments(surface.segments(surface_cells(spark, d), 10, 4096), 3)
+    return segments.large_segments(segments.segments(surface_cells(spark, d), 10, 4096, tile=16), 3)
 
 
-@query(f"WITH {LEAVES}, x AS (SELECT n * pow(4.0::DOUBLE, depth) AS k, pow(0.25::DOUBLE, depth) AS area, n FROM leaves) SELECT round(sum(n) / sum(area), 6) AS naive, round(median(k), 6) AS median, round(avg(k), 6) AS mean, min(k) AS least, max(k) AS most FROM x")
+@query(f"""WITH {LEAVES}, x AS (SELECT n / pow(dim / pow(2.0::DOUBLE, depth), 2) AS k FROM leaves, root), o AS (SELECT list_sort(list(k)) AS l, avg(k) AS mean, min(k) AS least, max(k) AS most FROM x)
+ SELECT (SELECT round(count(*) / ((max(x) - min(x)) * (max(y) - min(y))), 9) FROM pts) AS naive, round(l[len(l) // 2 + 1], 9) AS median, round(mean, 9) AS mean, round(least, 9) AS least, round(most, 9) AS most FROM o""")
 def leaf_report(spark, d):
-    leaves = surface.quadtree_leaves(surface.quadtree(src.customers(spark, d), LEVELS), LEVELS, 40)
-    return surface.leaf_report(leaves).select(*[F.round(n, 6).alias(n) for n in ("naive", "median", "mean")], "least", "most")
+    pts = src.customers(spark, d)
+    leaves = surface.quadtree_leaves(surface.quadtree(pts, LEVELS), LEVELS, 40)
+    return surface.leaf_report(leaves, pts).select(*[F.round(n, 9).alias(n) for n in ("naive", "median", "mean", "least", "most")])
 
 
 def las_orders(spark, d, form=7):

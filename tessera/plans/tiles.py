@@ -10,10 +10,17 @@ from tessera.sources import points as src
 from tessera.sources.scratch import scratch
 
 
+#: Stores that this process has written, by application, tables and side: queries on one store write it once.
+STORES: dict[tuple, str] = {}
+
+
 def store(spark, d, side=SIDE) -> tiled.TiledPoints:
-    path = scratch(spark, "tiled")
-    tiled.write_tiled(src.orders(spark, d), CELL, path, side)
-    return tiled.open_tiled(spark, path)
+    key = spark.sparkContext.applicationId, d, side
+    if key not in STORES:
+        path = scratch(spark, "tiled")
+        tiled.write_tiled(src.orders(spark, d), CELL, path, side)
+        STORES[key] = path
+    return tiled.open_tiled(spark, STORES[key])
 
 
 @query(f"WITH {LOW} SELECT c.point_id, c.qx, c.qy, c.qz, c.tile_row, c.tile_col, l.point_id IS NOT NULL AS lowres FROM cells c LEFT JOIN low l ON l.point_id = c.point_id AND l.tile_row = c.tile_row AND l.tile_col = c.tile_col")
@@ -56,7 +63,7 @@ def tile_read_order(spark, d):
 def tiled_scan(spark, d):
     """Every point with the ordinal of its tile, in the order of tiles."""
     s = store(spark, d)
-    return s.points.join(F.broadcast(s.tiles.select("tile_row", "tile_col", "valid_index")), ["tile_row", "tile_col"]).select("tile_row", "tile_col", "point_id", "valid_index").sortWithinPartitions("valid_index")
+    return s.points.join(s.tiles.select("tile_row", "tile_col", "valid_index"), ["tile_row", "tile_col"]).select("tile_row", "tile_col", "point_id", "valid_index").sortWithinPartitions("valid_index")
 
 
 @query(f"WITH {CELLS} SELECT tile_row, tile_col, least((qy - mny - tile_row * csy) * 8 // csy, 7) AS py, least((qx - mnx - tile_col * csx) * 8 // csx, 7) AS px, max(qz) AS top, count(*) AS n FROM cells GROUP BY ALL")

@@ -45,7 +45,7 @@ def test_filters_reach_the_files(spark, points, tmp_path):
     some = df.where("tile_row = 2 and tile_col >= 3 and tile_col < 5 and qx > 31")
     plan = some._jdf.queryExecution().executedPlan().toString()
     # What the source compares itself is gone from the plan; only tests for null are left.
-    assert "BatchScan las" in plan and "isnotnull" in plan and "31" not in plan.replace("#31", "") and " >= 3" not in plan
+    assert "BatchScan las" in plan and "isnotnull" in plan and " = 2" not in plan and " > 31" not in plan and " >= 3" not in plan
     assert sorted(map(tuple, some.select("qx", "qy").collect())) == sorted((x, y) for x in range(32, 50) for y in range(20, 30))
     reader = lasformat.LasReader(folder, df.schema)
     every = len(reader.partitions())

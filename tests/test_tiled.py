@@ -19,6 +19,16 @@ def test_reads_are_pruned(spark, tmp_path):
     assert [t.point_offset for t in ends] == sorted(t.point_offset for t in ends)
 
 
+def test_repeated_ids(spark, tmp_path):
+    """Each sub-cell has one low-resolution point, however many rows share its id, place and height."""
+    pts = spark.range(4000).selectExpr("id % 40 point_id", "double(id % 20) x", "double(id div 20 % 20) y", "double(id % 3) z", "id % 20 qx", "id div 20 % 20 qy", "id % 3 qz")
+    tiled.write_tiled(pts.union(pts), (10, 10), f"file://{tmp_path}/r", 2)
+    store = tiled.open_tiled(spark, f"file://{tmp_path}/r")
+    low = store.lowres().groupBy("tile_row", "tile_col").count().collect()
+    assert [r["count"] for r in low] == [4] * 4 and store.points.count() == 8000
+    assert store.tiles.agg(F.sum("lowres_count"), F.sum("point_count")).first()[:] == (16, 8000)
+
+
 def test_empty_store(spark, tmp_path):
     none = spark.sql("select 1L point_id, 1d x, 1d y, 1d z, 1L qx, 1L qy, 1L qz where false")
     tiled.write_tiled(none, (10, 10), f"file://{tmp_path}/s")
