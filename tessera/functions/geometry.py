@@ -90,3 +90,96 @@ def byte_size(n: Column) -> Column:
 
 def safe_base64(raw: Column) -> Column:
     return F.translate(F.base64(raw), "+/", "-_")
+
+
+def plus(a: Vector, b: Vector) -> Vector:
+    return tuple(p + q for p, q in zip(a, b, strict=True))
+
+
+def times(a: Vector, b: Vector | Column | float) -> Vector:
+    """A vector by a scalar, or by another one component by component."""
+    return tuple(p * q for p, q in zip(a, b if isinstance(b, tuple) else (b,) * len(a), strict=True))
+
+
+def over(a: Vector, b: Vector | Column | float) -> Vector:
+    """A vector divided by a scalar or a vector; null where that is 0."""
+    return tuple(F.try_divide(p, q if isinstance(q, Column) else F.lit(q)) for p, q in zip(a, b if isinstance(b, tuple) else (b,) * len(a), strict=True))
+
+
+# Cross products this small are 0, squared distances this small are coincident, extents of circles are wider by this.
+SNAP, COINCIDENT, BOUND = 1e-12, 1e-5, 0.005
+
+
+def snapped_turn(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The cross product of a - p and b - p; 0 where it is too small to tell its sign."""
+    found = (ax - px) * (by - py) - (bx - px) * (ay - py)
+    return F.when(F.abs(found) >= SNAP, found).otherwise(F.lit(0.0))
+
+
+def coincident(x: Column, y: Column, corners: list[tuple[Column, Column]]) -> Column:
+    """Whether a place is, but for rounding, one of some corners."""
+    return F.least(*[(cx - x) * (cx - x) + (cy - y) * (cy - y) for cx, cy in corners]) <= COINCIDENT
+
+
+def circle_extent(corners: list[tuple[Column, Column]]) -> tuple[Column, Column, Column, Column]:
+    """min x, min y, max x, max y of the circle through three corners, a little wider; about their centroid where they lie in a line."""
+    (ax, ay), (bx, by), (cx, cy) = corners
+    dx1, dy1, dx2, dy2 = bx - ax, by - ay, cx - ax, cy - ay
+    twice = 2 * (dx1 * dy2 - dy1 * dx2)
+    one, two = dx1 * dx1 + dy1 * dy1, dx2 * dx2 + dy2 * dy2
+    ux, uy = F.try_divide(dy2 * one - dy1 * two, twice), F.try_divide(dx1 * two - dx2 * one, twice)
+    x, y = F.coalesce(ax + ux, (ax + bx + cx) / 3), F.coalesce(ay + uy, (ay + by + cy) / 3)
+    reach = F.coalesce(F.sqrt(ux * ux + uy * uy), F.lit(0.0)) + BOUND
+    return x - reach, y - reach, x + reach, y + reach
+
+
+def triangle_within(corners: list[tuple[Column, Column]], box: tuple) -> Column:
+    """All corners in a closed extent (min x, min y, max x, max y)."""
+    return (F.least(*[x for x, _ in corners]) >= box[0]) & (F.least(*[y for _, y in corners]) >= box[1]) & (F.greatest(*[x for x, _ in corners]) <= box[2]) & (F.greatest(*[y for _, y in corners]) <= box[3])
+
+
+def triangle_overlaps(corners: list[tuple[Column, Column]], box: tuple) -> Column:
+    """Whether a triangle may share a place with an extent: no side has the whole extent on its outer side. Corners in either turn."""
+    (ax, ay), (bx, by), (cx, cy) = corners
+    left = F.signum(turn(ax, ay, bx, by, cx, cy))
+    ends = [(F.lit(float(box[i])), F.lit(float(box[j]))) for i in (0, 2) for j in (1, 3)]
+    sides = [F.greatest(*[left * turn(px, py, qx, qy, ex, ey) for ex, ey in ends]) >= 0 for (px, py), (qx, qy) in zip(corners, corners[1:] + corners[:1], strict=True)]
+    return triangle_within(corners, box) | (sides[0] & sides[1] & sides[2])
+
+
+def near_plane(point: Vector, corners: list[Vector], most: float) -> Column:
+    """Whether a point is at most so far from the plane of a triangle."""
+    centre, normal = plane(*corners)
+    return F.abs(plane_distance(point, centre, normal)) <= most
+
+
+def in_square(x: Column, y: Column, low_x: Column, low_y: Column, side: Column) -> Column:
+    """In a square that is open at its upper sides, as a node of a quadtree is."""
+    return (x >= low_x) & (y >= low_y) & (x < low_x + side) & (y < low_y + side)
+
+
+def texture_coordinates(x: Column, y: Column, box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """The place in an extent (min x, min y, max x, max y) as shares of its sides."""
+    return F.try_divide(x - box[0], box[2] - box[0]), F.try_divide(y - box[1], box[3] - box[1])
+
+
+def height_coordinate(z: Column, low: Column, high: Column) -> Column:
+    """The place of a height in a texture of the whole range."""
+    return (z - low) * F.try_divide(F.lit(1.0), high - low)
+
+
+def ratio_to_centre(qx: Column, qy: Column, centre_x: Column, centre_y: Column, cell_x: Column, cell_y: Column) -> Column:
+    """The squared distance from a cell's centre, each axis as a share of the cell's size."""
+    dx, dy = (qx - centre_x) / cell_x, (qy - centre_y) / cell_y
+    return dx * dx + dy * dy
+
+
+def convex_corners(xs: Column, ys: Column) -> Column:
+    """`convex` for polygons in rows: arrays of their corners' coordinates, in order."""
+    def changes(values: Column) -> Column:
+        steps = F.transform(values, lambda v, i: F.signum((F.get(values, (i + 1) % F.size(values)) - v).cast("double")))
+        moves = F.filter(steps, lambda s: s != 0)
+        turned = F.transform(moves, lambda s, i: (F.get(moves, (i + 1) % F.size(moves)) != s).cast("int"))
+        return F.aggregate(turned, F.lit(0), lambda t, v: t + v)
+
+    return (F.size(xs) >= 3) & (changes(xs) <= 2) & (changes(ys) <= 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published colour ramps, from low to high, as 0xRRGGBB.
@@ -104,3 +104,16 @@ def cached_ramp(stops: list[tuple[int, int, int]], bins: int) -> Column:
 
 def distinct_colour(value: Column, palette: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in palette]), (F.pmod(value, F.lit(len(palette))) + 1).cast("int"))
+
+
+def ramp_size_of(quality: Column) -> Column:
+    """`ramp_size` for a column of qualities, in single precision."""
+    return ((quality / 100.0).cast("float") * F.lit(300).cast("float")).cast("int")
+
+
+def bitmap(pixels: DataFrame, width: int, height: int, colours: Column, bin_: Column) -> DataFrame:
+    """(px, py, argb) for every pixel of a raster of width x height: pixels (r, c and what the bin is computed from) in the colour of their
+    bin, opaque, those without a value transparent; the first row is the lowest."""
+    every = pixels.sparkSession.range(width * height).select((F.col("id") % width).cast("int").alias("px"), F.expr(f"int(id div {width})").alias("py"))
+    seen = pixels.select(F.col("c").cast("int").alias("px"), (F.lit(height - 1) - F.col("r")).cast("int").alias("py"), (F.get(colours, bin_) + F.lit(0xFF000000)).alias("argb"))
+    return every.join(seen, ["px", "py"], "left").select("px", "py", F.coalesce("argb", F.lit(0xFFFFFF)).cast("long").alias("argb"))

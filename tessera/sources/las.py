@@ -172,6 +172,75 @@ def records(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
     return headers(spark, source).select("path", "header_size", "n_vlrs", "evlr_offset", "n_evlrs").mapInArrow(run, ddl)
 
 
+def find_records(spark: SparkSession, source: str | Sequence[str], user_id: str, record_id: int) -> DataFrame:
+    """(path, extended, description, data): the first record of an identifier in each file, extended ones after the others. Of other records
+    only the headers are read."""
+    ddl = "path string, extended int, description string, data binary"
+    shape = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [row for head in batch.to_pylist() if (row := first(head))]
+            yield pa.RecordBatch.from_pylist(found, schema=shape)
+
+    def first(head: dict) -> dict | None:
+        with opened(head["path"]) as f:
+            for extended, start, number, form in ((0, head["header_size"], head["n_vlrs"], VLR_FORMAT), (1, head["evlr_offset"], head["n_evlrs"], EVLR_FORMAT)):
+                for _ in range(number):
+                    f.seek(start)
+                    raw = f.read(struct.calcsize(form))
+                    if len(raw) < struct.calcsize(form):
+                        raise ValueError(f"{head['path']} ends within its records")
+                    _, user, record, length, text = struct.unpack(form, raw)
+                    if user.split(b"\0", 1)[0] == user_id.encode("latin-1") and record == record_id:
+                        return {"path": head["path"], "extended": extended, "description": text.split(b"\0", 1)[0].decode("latin-1"), "data": f.read(length)}
+                    start += len(raw) + length
+        return None
+
+    return headers(spark, source).select("path", "header_size", "n_vlrs", "evlr_offset", "n_evlrs").mapInArrow(run, ddl)
+
+
+#: What a record's payload holds, by (user id, record id): texts, 64-bit numbers, geo keys, names of classes, descriptions of extra bytes.
+PAYLOADS = {("LASF_Projection", 2111): "text", ("LASF_Projection", 2112): "text", ("LASF_Projection", 34735): "keys", ("LASF_Projection", 34736): "doubles", ("LASF_Projection", 34737): "text", ("LASF_Spec", 0): "classes", ("LASF_Spec", 3): "text", ("LASF_Spec", 4): "extra"}
+
+
+def payload_items(kind: str, data: bytes) -> list[tuple[int, str | None, float | None, str | None]]:
+    """(item, name, number, text) of a payload: each geo key with its value (a number of its own, or where its values begin in the record
+    named by its location), each number, each class, each field of extra bytes with its type."""
+    def text(raw: bytes) -> str:
+        return raw.split(b"\0", 1)[0].decode("utf-8", "replace")
+
+    if kind == "text":
+        return [(0, None, None, text(data))]
+    if kind == "doubles":
+        return [(i, None, v, None) for i, v in enumerate(struct.unpack(f"<{len(data) // 8}d", data[: len(data) // 8 * 8]))]
+    if kind == "keys":
+        words = struct.unpack(f"<{len(data) // 2}H", data[: len(data) // 2 * 2])
+        rows = [words[i : i + 4] for i in range(4, min(4 * (words[3] + 1) if len(words) > 3 else 0, len(words) - 3), 4)]
+        return [(i, str(key), float(value), None if location == 0 else f"{location}:{count}") for i, (key, location, count, value) in enumerate(rows)]
+    size = 16 if kind == "classes" else 192
+    whole = [data[i : i + size] for i in range(0, len(data) - size + 1, size)]
+    if kind == "classes":
+        return [(i, None, float(raw[0]), text(raw[1:])) for i, raw in enumerate(whole)]
+    return [(i, text(raw[4:36]), float(raw[2]), text(raw[160:])) for i, raw in enumerate(whole)]
+
+
+def typed_records(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
+    """(path, known, item, name, number, text): the payloads of records of public specifications, decoded."""
+    ddl = "path string, known string, item int, name string, number double, text string"
+    shape = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                kind = PAYLOADS.get((r["user_id"], r["record_id"]))
+                out += [dict(zip(shape.names, (r["path"], r["known"], *item), strict=True)) for item in (payload_items(kind, r["data"]) if kind else [])]
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    return records(spark, source).where("known is not null").select("path", "user_id", "record_id", "data", "known").mapInArrow(run, ddl)
+
+
 def merged(heads: DataFrame) -> DataFrame:
     """One header for all: counts and counts by return are summed, extents united; `kinds` counts the different
     formats, record lengths and quantizations: 1 means that the files are compatible. The 32-bit count is 0 where it doesn't fit."""
