@@ -30,8 +30,10 @@ WINDOW = 1024
 END = 0
 #: Tails in a shard of the index, about.
 SHARD = 4096
-#: BM25, and the number of a document's heaviest terms that are asked for first.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25.
+K1, B = 1.2, 0.75
+#: A term in more than one of so many documents of a shard is common: its weights are a row for all of them, in so many bytes altogether.
+COMMON, ROWS = 50, 32 << 20
 #: Vectors that the tree of shards is grown on, about, and their coordinates.
 SAMPLE, DIMENSIONS = 16_000, 256
 VOCABULARY = 1 << 16
@@ -116,46 +118,55 @@ def weights(often: np.ndarray, length: np.ndarray | int, idf: np.ndarray, mean_l
 
 class Index:
     """An inverted index of one shard: for each term its documents and their BM25 weights. Documents are given by
-    their ids, or by their distinct terms and counts."""
+    their ids, or by their distinct terms and counts. Common terms have a weight for every document, so that adding one up
+    is a sum of two rows."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean_length: float, counted: list[tuple[np.ndarray, np.ndarray]] | None = None):
         counted = counted or [np.unique(t, return_counts=True) for t in texts]
-        terms, lengths = [t for t, _ in counted], np.array([n.sum() for _, n in counted])
-        sizes = np.array([len(t) for t in terms], np.int64)
-        term, often = np.concatenate(terms).astype(np.int64), np.concatenate([n for _, n in counted]).astype(np.float32)
-        doc = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+        self.queries, lengths = [t for t, _ in counted], np.array([n.sum() for _, n in counted])
+        sizes = np.array([len(t) for t in self.queries], np.int64)
+        term, often = np.concatenate(self.queries).astype(np.int64), np.concatenate([n for _, n in counted]).astype(np.float32)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         weight = weights(often, lengths[doc], idf[term], mean_length)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.queries = [term[a:b][np.argsort(-weight[a:b], kind="stable")].astype(np.uint16) for a, b in pairwise(bounds)]
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        self.scores = np.zeros(len(terms), np.float32)
-
-    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """The unused documents that share a term with the seed, nearest first; ties in the order of rows. The seed's
-        heaviest terms come first; when no unused document has any of them, twice as many follow, and so on."""
-        scores = self.scores
+        starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
+        found = np.diff(starts)
+        most = np.argsort(-found, kind="stable")[: ROWS // (4 * max(1, len(sizes)))]
+        self.rows: dict[int, np.ndarray] = {}
+        for t in most[found[most] * COMMON > len(sizes)].tolist():
+            row = self.rows[t] = np.zeros(len(sizes), np.float32)
+            row[self.docs[starts[t] : starts[t + 1]]] = self.weights[starts[t] : starts[t + 1]]
+        self.starts = starts.tolist()
+        self.scores = np.zeros(len(sizes), np.float32)
+
+    def scored(self, seed: int) -> np.ndarray:
+        """The BM25 scores of all documents for the seed's terms, all of them. The array is used again."""
+        scores, rows, starts = self.scores, self.rows, self.starts
         scores[:] = 0
-        given = np.zeros(len(scores), bool)
-        query, done, terms = self.queries[seed], 0, QUERY_TERMS
-        while done < len(query):
-            for t in query[done : done + terms]:
-                a, b = self.starts[t], self.starts[int(t) + 1]
+        for t in self.queries[seed].tolist():
+            row = rows.get(t)
+            if row is not None:
+                np.add(scores, row, out=scores)
+            else:
+                a, b = starts[t], starts[t + 1]
                 scores[self.docs[a:b]] += self.weights[a:b]
-            done, terms = done + terms, 2 * terms
-            found = np.flatnonzero((scores > 0) & unused & ~given)
-            width = 32
-            while len(found):
-                if len(found) > width:
-                    top = np.argpartition(-scores[found], width - 1)[:width]
-                    head = found[top]
-                else:
-                    top, head = None, found
-                given[head] = True
-                yield from head[np.lexsort((head, -scores[head]))].tolist()
-                found = np.delete(found, top) if top is not None else found[:0]
-                width *= 2
+        return scores
+
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The unused documents that share a term with the seed, nearest first; ties in the order of rows."""
+        scores = self.scored(seed)
+        found, width = np.flatnonzero((scores > 0) & unused), 32
+        while len(found):
+            if len(found) > width:
+                # All that are as near as the last of the first ones go along, so that ties stay in order.
+                least = -np.partition(-scores[found], width - 1)[width - 1]
+                near = scores[found] >= least
+                head, found = found[near], found[~near]
+            else:
+                head, found = found, found[:0]
+            yield from head[np.lexsort((head, -scores[head]))].tolist()
+            width *= 2
 
 
 @cache

@@ -666,3 +666,52 @@ def test_nearest_of_many(spark):
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)], "vec_id long, embedding array<float>").repartition(3)
     got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, k=250)
     assert {(r.query_id, r["count"]) for r in got.groupBy("query_id").count().collect()} == {(i, 250) for i in range(0, 700, 100)}
+
+
+def test_packing_ranks_by_whole_queries(spark, documents, monkeypatch):
+    """The order of all unused documents is that of exact BM25 scores, with and without rows for common terms."""
+    rows = packing.tokenized(documents, BYTE, "doc_id", "text").collect()
+    counted = [(np.frombuffer(r.terms, "<u2"), np.frombuffer(r.counts, "<u4")) for r in rows]
+    n, mean = len(rows), float(np.mean([c.sum() for _, c in counted]))
+    often = Counter(t for terms, _ in counted for t in terms.tolist())
+    idf = np.zeros(packing.VOCABULARY, np.float32)
+    for t, f in often.items():
+        idf[t] = np.log1p((n - f + 0.5) / (f + 0.5))
+    maps = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in counted]
+    unused = np.arange(n) % 3 > 0
+    for size in (packing.ROWS, 0):
+        monkeypatch.setattr(packing, "ROWS", size)
+        index = packing.Index([], idf, mean, counted)
+        for seed in range(0, n, 17):
+            def exact(d, seed=seed):
+                length = sum(maps[d].values())
+                return sum(float(idf[t]) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / mean)) for t, c in maps[d].items() if t in maps[seed])
+
+            got = list(index.ranked(seed, unused))
+            assert sorted(got) == [d for d in range(n) if unused[d] and maps[d].keys() & maps[seed].keys()]
+            values = [exact(d) for d in got]
+            assert all(a >= b - 1e-3 * max(1.0, b) for a, b in zip(values, values[1:], strict=False))
+
+
+def test_packing_in_several_shards_and_of_long_texts(spark, documents, monkeypatch):
+    """Every id lies in one piece, checksums hold, and only a shard's last sequence isn't full; texts of a megabyte among them."""
+    monkeypatch.setattr(packing, "SHARD", 32)
+    rng = random.Random(4)
+    long = [(10**6 + i, " ".join(rng.choice(["alpha", "beta", "gamma", "δέλτα", "x1", "🙂"]) for _ in range(170_000))) for i in range(2)]
+    df = documents.select("doc_id", "text").union(spark.createDataFrame(long, "doc_id long, text string")).repartition(3)
+    lib = Tokenizer.from_file(BYTE)
+    ids = {i: np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in texts(df)}
+    assert len(ids) == df.count() and max(map(len, ids.values())) > 100_000
+    seen, windows = defaultdict(int), defaultdict(list)
+    for r in packing.packed(df, BYTE).collect():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length > 0 and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        seen[r.doc_id] += r.length
+        windows[r.sequence_id].append((r.offset, r.length))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    fills = []
+    for w in windows.values():
+        w.sort()
+        assert [o for o, _ in w] == [sum(n for _, n in w[:k]) for k in range(len(w))]
+        fills.append(sum(n for _, n in w))
+    assert max(fills) == 1024 and sum(f < 1024 for f in fills) <= 2 * (len(ids) // 32 + 8)
