@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +39,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table in the shared folder and read back.
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df, written once as a table in the shared folder (or in another one, which must be shared too) and read back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and a plan that
     uses the rows twice computes them once.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def apart(spark: SparkSession) -> Iterator[str]:
+    """What is written meanwhile goes to a folder of its own, which is deleted at the end; results that need it must be written
+    elsewhere by then. Gives the folder that is usual."""
+    usual = session_dir(spark)
+    own = f"{usual}/apart-{uuid.uuid4().hex}"
+    spark.conf.set("tessera.scratch", own)
+    try:
+        yield usual
+    finally:
+        spark.conf.set("tessera.scratch", usual)
+        delete(spark, own)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table and file that this session wrote to the shared folder so far."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, session_dir(spark))
