@@ -132,3 +132,15 @@ def along_segment(x: Column, y: Column, start: tuple[float, float], end: tuple[f
     t = F.least(F.greatest(((x - start[0]) * dx + (y - start[1]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
     px, py = x - (start[0] + t * dx), y - (start[1] + t * dy)
     return t, px * px + py * py
+
+
+def point_sprites(points: DataFrame, number: str, size: float, thin: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Squares for points (x, y, z and a column that numbers them from 0), every thin-th one: vertices (vertex, x, y, z), four for each point,
+    and the triangles (a, b, c) between them. A point's vertices are four times its number and the three that follow."""
+    kept = points.where(F.col(number) % thin == 0)
+    ends = [(F.lit(2 * j + i), F.col("x") + (i - 0.5) * size, F.col("y") + (j - 0.5) * size) for j in (0, 1) for i in (0, 1)]
+    corner = F.explode(F.array(*[F.struct(k.alias("k"), x.alias("x"), y.alias("y")) for k, x, y in ends])).alias("p")
+    vertices_ = kept.select(F.col(number).alias("i"), corner, "z").select((4 * F.col("i") + F.col("p.k")).alias("vertex"), "p.x", "p.y", "z")
+    at = lambda k: 4 * F.col(number) + k
+    pair = F.explode(F.array(*[F.struct(at(a).alias("a"), at(b).alias("b"), at(c).alias("c")) for a, b, c in ((0, 1, 3), (0, 3, 2))])).alias("t")
+    return vertices_, kept.select(pair).select("t.*")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import budget, delaunay, grid, stitch, surface, treeindex
+from tessera.operators import budget, delaunay, grid, segments, stitch, surface, treeindex
 from tessera.operators.ordered import numbered
-from tessera.plans.catalogue import CELLS, CUST, DENSITY, LEAF, LEVELS, order_cells, query
+from tessera.plans.catalogue import CELLS, CUST, DENSITY, LEAF, LEVELS, SEG, order_cells, query, surface_cells
 from tessera.sources import points as src
 
 
@@ -182,3 +182,29 @@ def segment_chunk_runs(spark, d):
     return budget.segment_runs(*greedy(spark, d))
 
 
+SPRITES = f"{CUST}, n AS (SELECT row_number() OVER (ORDER BY point_id) - 1 AS i, * FROM pts), kept AS (SELECT * FROM n WHERE i % 3 = 0)"
+
+
+def sprites(spark, d):
+    """Squares of side 5 for every third customer."""
+    points = numbered(src.customers(spark, d).select("point_id", "x", "y", "z"), ["point_id"])
+    return surface.point_sprites(points, "position", 5.0, 3)
+
+
+@query(f"WITH {SPRITES} SELECT 4 * i + k AS vertex, x + (k % 2 - 0.5::DOUBLE) * 5 AS x, y + (k // 2 - 0.5::DOUBLE) * 5 AS y, z FROM kept, range(4) t(k)")
+def sprite_vertices(spark, d):
+    return sprites(spark, d)[0]
+
+
+@query(f"WITH {SPRITES} SELECT 4 * i AS a, 4 * i + CASE k WHEN 0 THEN 1 ELSE 3 END AS b, 4 * i + CASE k WHEN 0 THEN 3 ELSE 2 END AS c FROM kept, range(2) t(k)")
+def sprite_faces(spark, d):
+    return sprites(spark, d)[1]
+
+
+EIGHT = SEG.replace("abs(a.r - b.r) + abs(a.c - b.c) = 1", "greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1")
+
+
+@query(f"{EIGHT}, n AS (SELECT label, count(*) AS size FROM seg GROUP BY label) SELECT id // 4096 AS r, id % 4096 AS c, label, size FROM seg JOIN n USING (label)")
+def segments_of_eight(spark, d):
+    """Height segments over eight neighbours, with their sizes, by tiles of four cells a side."""
+    return segments.segments(surface_cells(spark, d), 10, 4096, segments.EIGHT, 4)
