@@ -57,9 +57,10 @@ def listing(path: str) -> list[tuple[str, int]]:
     fs, root = las.filesystem(path)
     info = fs.get_file_info(root)
     found = [info] if info.type == pyarrow.fs.FileType.File else fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
-    scheme = f"{path.split('://')[0]}://" if "://" in path else "file://"
-    host = path.split("://")[1].split("/")[0] if "://" in path and not path.startswith("file:") and not path.startswith("s3") else ""
-    return sorted((f"{scheme}{host}{f.path}", f.mtime_ns or 0) for f in found if f.type == pyarrow.fs.FileType.File and f.base_name.endswith(".las") and f.base_name[0] not in "._")
+    scheme, _, rest = path.partition("://") if "://" in path else ("file", "", "")
+    # Paths of object stores begin with the bucket, others with a slash behind the host.
+    uri = lambda p: f"{scheme}://{rest.partition('/')[0]}{p}" if p.startswith("/") else f"{scheme}://{p}"
+    return sorted((uri(f.path), f.mtime_ns or 0) for f in found if f.type == pyarrow.fs.FileType.File and f.base_name.endswith(".las") and f.base_name[0] not in "._")
 
 
 def head_of(path: str) -> dict:
