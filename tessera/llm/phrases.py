@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ class Counts:
             cut = len(text) if cut < 0 else cut
             self.count(text[at:cut].replace(END, b" \xff ").split(b" "))
             at = cut
-        self.texts.append(np.zeros(1, np.int64))
+        self.texts.append(np.zeros(1, np.int32))
         self.words += 1
 
     def count(self, words: list[bytes]) -> None:
@@ -63,33 +64,43 @@ class Counts:
         for word in set(words):
             if word not in numbers:
                 numbers[word] = len(numbers)
-        found = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         if b"" in numbers:
             found = found[found != numbers[b""]]
         self.texts.append(found)
         self.words += len(found)
 
     def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
-        """(lang, w1, w2, w3, n): a gram from each word on, null behind the end of a piece."""
-        a = np.concatenate([*self.texts, np.zeros(2, np.int64)])
-        first, second, third = a[:-2], a[1:-1], a[2:]
-        some = first != 0
-        first, second, third = first[some], second[some], np.where(second == 0, 0, third)[some]
+        """(node, w3, n): a gram from each word on, in the order of nodes; w3 is null behind the end of a piece."""
+        a = np.concatenate([*self.texts, np.zeros(2, np.int32)])
+        self.texts = []
+        some = a[:-2] != 0
+        third = np.where(a[1:-1] == 0, 0, a[2:])[some]
         if len(self.numbers) <= VOCABULARY:
-            keys, n = np.unique(first << 42 | second << 21 | third, return_counts=True)
-            ends = keys >> 42, keys >> 21 & VOCABULARY, keys & VOCABULARY
+            keys = a[:-2][some].astype(np.int64)
+            keys <<= 21
+            keys |= a[1:-1][some]
+            keys <<= 21
+            keys |= third
+            keys, n = np.unique(keys, return_counts=True)
+            ends = lambda k: (k >> 42, k >> 21 & VOCABULARY, k & VOCABULARY)
         else:  # one text alone may have more words
-            pairs, at = np.unique(first << 32 | second, return_inverse=True)
+            pairs, at = np.unique(a[:-2][some].astype(np.int64) << 32 | a[1:-1][some], return_inverse=True)
             keys, n = np.unique(at << 32 | third, return_counts=True)
-            ends = pairs[keys >> 32] >> 32, pairs[keys >> 32] & 0xFFFFFFFF, keys & 0xFFFFFFFF
+            ends = lambda k: (pairs[k >> 32] >> 32, pairs[k >> 32] & 0xFFFFFFFF, k & 0xFFFFFFFF)
         words = pa.array(list(self.numbers)[1:], pa.binary()).cast(pa.string())
+        word = lambda k: words.take(pa.array(k - 1, mask=k == 0))
         for at in range(0, len(n), 1 << 16):
-            columns = [words.take(pa.array(k[at : at + (1 << 16)] - 1, mask=k[at : at + (1 << 16)] == 0)) for k in ends]
-            yield pa.record_batch([pa.array([lang] * len(columns[0]), pa.string()), *columns, pa.array(n[at : at + (1 << 16)])], [*EDGE, "n"])
+            first, second, third = ends(keys[at : at + (1 << 16)])
+            begins = np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)])
+            pair = pc.binary_join_element_wise(word(first[begins]), word(second[begins]), " ", null_handling="skip")
+            node = pc.binary_join_element_wise(pa.scalar(lang), pair, "\t").take(pa.array(np.cumsum(begins) - 1))
+            yield pa.record_batch([node, word(third), pa.array(n[at : at + (1 << 16)])], ["node", "w3", "n"])
 
 
 def grams(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3, n): the counts of grams, added up where they are read; not yet one row for each."""
+    """(node, w3, n): the counts of grams, added up where they are read; not yet one row for each. A node is its language, a tab and
+    its words with a space between them, of which the second may lack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counts] = {}
@@ -109,19 +120,28 @@ def grams(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Data
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return df.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long")
+    return df.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, "node string, w3 string, n long")
 
 
 def flows(df: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, flow, out), written: frequent nodes with what flows out of them and their frequent edges (w3, n), and
-    rows with a null w2 that hold what else a word's count needs."""
-    dealt = grams(df, text_col, lang_col).repartition(*NODE)
-    edges = dealt.groupBy(*EDGE).agg(F.sum("n").alias("n"))
-    frequent = F.when((F.col("n") >= least) & F.col("w3").isNotNull(), F.struct("w3", "n"))
-    nodes = edges.groupBy(*NODE).agg(F.sum("n").alias("flow"), F.collect_list(frequent).alias("out"))
-    kept = F.when(F.col("flow") >= least, F.col("w2"))
-    rows = nodes.select("lang", "w1", kept.alias("w2"), "flow", F.when(kept.isNotNull(), F.col("out")).alias("out"))
-    return written(rows.groupBy(*NODE).agg(F.sum("flow").alias("flow"), F.max("out").alias("out")), "flows")
+    """(lang, w1, w2, w3, n), written: frequent edges; with a null w3, frequent nodes with what flows out of them; with a null w2 too, what else
+    the count of a word needs. Nodes are shuffled once; edges and flows are summed where they meet."""
+    dealt = grams(df, text_col, lang_col).repartition("node")
+    edges = dealt.groupBy("node", "w3").agg(F.sum("n").alias("n"))
+    flow = F.lit(None).cast("string")
+    parts = F.when((F.col("n") >= least) & F.col("w3").isNotNull(), F.array(flow, F.col("w3"))).otherwise(F.array(flow))
+    sums = edges.select("node", F.explode(parts).alias("w3"), "n").groupBy("node", "w3").agg(F.sum("n").alias("n"))
+    pair = F.substring_index("node", "\t", -1)
+    lang = F.substring(F.col("node"), F.lit(1), F.length("node") - F.length(pair) - 1)
+    second = F.when(F.col("n") >= least, F.get(F.split(pair, " "), F.lit(1)))
+    named = sums.select(lang.alias("lang"), F.substring_index(pair, " ", 1).alias("w1"), second.alias("w2"), "w3", "n")
+    return written(named.groupBy(*EDGE).agg(F.sum("n").alias("n")), "flows")
+
+
+def nodes_and_edges(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From `flows` the frequent nodes (NODE, flow) and the frequent edges (EDGE, n, and the flow of the node they begin at)."""
+    nodes = counted.where("w2 is not null and w3 is null").select(*NODE, F.col("n").alias("flow"))
+    return nodes, counted.where("w3 is not null").join(nodes, NODE)
 
 
 def with_paths(edges: DataFrame) -> DataFrame:
@@ -179,12 +199,11 @@ def collocations(df: DataFrame, least: int = LEAST, share: int = SHARE, top: int
     A null text is empty, a null language `und`; a text without words adds nothing. Repeated rows count as often as they occur. An empty table,
     or one without a frequent phrase, gives none. Other columns of df are left out.
     """
-    nodes_and_rest = flows(df, least, text_col, lang_col)
-    words = written(nodes_and_rest.groupBy("lang", "w1").agg(F.sum("flow").alias("f")), "words")
+    counted = flows(df, least, text_col, lang_col)
+    words = written(counted.where("w3 is null").groupBy("lang", "w1").agg(F.sum("n").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= least)
-    nodes = nodes_and_rest.where("w2 is not null")
-    edges = nodes.select(*NODE, "flow", F.explode("out").alias("edge")).select(*NODE, "edge.w3", "edge.n", "flow")
+    nodes, edges = nodes_and_edges(counted)
     compact = written(paths(edges), "paths")
     kept = nodes.select(*NODE, F.col("flow").alias("a")).join(heaviest(compact), NODE, "left").where(100 * F.coalesce("heaviest", F.lit(0)) < share * F.col("a"))
     first = words.select("lang", "w1", F.col("f").alias("f1"))
