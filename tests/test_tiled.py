@@ -46,6 +46,33 @@ def test_running_sums_and_numbers(spark):
     assert ordered.running_sums(df.where("false"), ["k"], {"before": F.col("n")}).count() == 0
 
 
+def test_orders_of_tables_with_any_names(spark):
+    """Columns called as those that are added are replaced, others stay whatever their names; a choice of columns is kept."""
+    df = spark.createDataFrame([(k, k, "a", "b", 5, 6, 7) for k in (3, 1, 2)], "k int, n int, part string, mark string, position int, total int, first int")
+    got = sorted((r.k, r.position, r.total, r.part, r.mark, r.first) for r in ordered.numbered(df, ["k"]).select("k", "position", "total", "part", "mark", "first").collect())
+    assert got == [(1, 0, 3, "a", "b", 7), (2, 1, 3, "a", "b", 7), (3, 2, 3, "a", "b", 7)]
+    sums = ordered.running_sums(df, ["k"], {"total": F.col("n")})
+    assert sorted((r.k, r.position, r.total) for r in sums.collect()) == [(1, 0, 0), (2, 1, 1), (3, 2, 3)]
+    assert ordered.numbered(df, ["k"], ["part"]).columns == ["part", "total", "position"]
+
+
+def test_scratch_of_a_block(spark):
+    """What a block writes is gone behind it, what it writes elsewhere stays, and the usual folder is back."""
+    from tessera.sources import scratch
+
+    usual = scratch.session_dir(spark)
+    with scratch.apart(spark) as outer:
+        inside = scratch.written(spark.range(3).toDF("i"), "inside")
+        kept = scratch.written(inside, "kept", f"{outer}/stay")
+        assert scratch.session_dir(spark) != usual and outer == usual
+    assert scratch.session_dir(spark) == usual and kept.count() == 3
+    try:
+        gone = inside.count() == 0
+    except Exception:
+        gone = True
+    assert gone
+
+
 def test_budgets_on_ties(spark):
     tiles = spark.createDataFrame([(0, 5), (1, 5), (2, 5), (3, 1)], "t int, n long")
     assert sorted(r.t for r in grid.within_budget(tiles, ["t"], 10).collect()) == [0, 1]
