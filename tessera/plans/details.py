@@ -260,11 +260,19 @@ def las_sparse_scan(spark, d):
     return las.read_las(spark, folder, ("gps_time", "qx"), inside).select(F.col("gps_time").cast("bigint").alias("point_id"), "qx")
 
 
+#: Tiled sets that this process has written, by application and tables.
+TILED_SETS: dict[tuple, str] = {}
+
+
 def tiled_las(spark, d):
-    folder = scratch(spark, "las-tiled")
-    pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time"))
-    lasformat.write_tiled_las(pts, CELL, folder, src.Quantization((1.0, 0.01, 1.0)))
-    return folder
+    key = spark.sparkContext.applicationId, d
+    if key not in TILED_SETS:
+        folder = scratch(spark, "las-tiled")
+        pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time"))
+        lasformat.write_tiled_las(pts, CELL, folder, src.Quantization((1.0, 0.01, 1.0)))
+        TILED_SETS[key] = folder
+    lasformat.register(spark)
+    return TILED_SETS[key]
 
 
 @query(f"WITH {CELLS} SELECT point_id, qx, tile_row, tile_col FROM cells WHERE tile_row = 3 AND tile_col BETWEEN 2 AND 4 AND qx > 350")
