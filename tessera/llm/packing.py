@@ -34,6 +34,8 @@ SHARD = 4096
 K1, B = 1.2, 0.75
 #: A term in more than one of so many documents of a shard is common: its weights are a row for all of them, in so many bytes altogether.
 COMMON, ROWS = 50, 32 << 20
+#: Scores are sums in single precision: smaller ones are none.
+LEAST = 1e-3
 #: Vectors that the tree of shards is grown on, about, and their coordinates.
 SAMPLE, DIMENSIONS = 16_000, 256
 VOCABULARY = 1 << 16
@@ -137,14 +139,39 @@ class Index:
         for t in most[found[most] * COMMON > len(sizes)].tolist():
             row = self.rows[t] = np.zeros(len(sizes), np.float32)
             row[self.docs[starts[t] : starts[t + 1]]] = self.weights[starts[t] : starts[t + 1]]
-        self.starts = starts.tolist()
-        self.scores = np.zeros(len(sizes), np.float32)
+        self.starts = starts
+        # A seed has most of the terms that over half of the documents have: it's quicker to take off those that it lacks.
+        self.usual = frozenset(t for t in self.rows if 2 * found[t] > len(sizes))
+        self.base = sum((self.rows[t] for t in self.usual), np.zeros(len(sizes), np.float32))
+        self.narrow(np.arange(len(sizes)))
+
+    def narrow(self, alive: np.ndarray) -> None:
+        """From now on only documents `alive`, their numbers in order, are scored."""
+        if hasattr(self, "alive"):
+            kept = np.zeros(len(self.queries), bool)
+            kept[alive] = True
+            kept = kept[self.alive]
+            number = np.cumsum(kept, dtype=np.int32) - 1
+            stay = kept[self.docs]
+            self.starts = np.concatenate([[0], np.cumsum(stay)])[self.starts]
+            self.docs, self.weights = number[self.docs[stay]], self.weights[stay]
+            self.rows = {t: row[kept] for t, row in self.rows.items()}
+            self.base = self.base[kept]
+        self.alive, self.begins = alive, self.starts.tolist()
+        self.scores = np.zeros(len(alive), np.float32)
 
     def scored(self, seed: int) -> np.ndarray:
-        """The BM25 scores of all documents for the seed's terms, all of them. The array is used again."""
-        scores, rows, starts = self.scores, self.rows, self.starts
-        scores[:] = 0
-        for t in self.queries[seed].tolist():
+        """The BM25 scores of the documents alive for the seed's terms, all of them. The array is used again."""
+        scores, rows, starts, terms = self.scores, self.rows, self.begins, self.queries[seed].tolist()
+        usual = self.usual.intersection(terms)
+        if 2 * len(usual) > len(self.usual):
+            np.copyto(scores, self.base)
+            for t in self.usual - usual:
+                np.subtract(scores, rows[t], out=scores)
+            terms = [t for t in terms if t not in usual]
+        else:
+            scores[:] = 0
+        for t in terms:
             row = rows.get(t)
             if row is not None:
                 np.add(scores, row, out=scores)
@@ -154,9 +181,14 @@ class Index:
         return scores
 
     def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """The unused documents that share a term with the seed, nearest first; ties in the order of rows."""
-        scores = self.scored(seed)
-        found, width = np.flatnonzero((scores > 0) & unused), 32
+        """The unused documents that share terms of a weight above LEAST with the seed, nearest first; ties in the order of rows. Documents once used
+        mustn't be asked for again: when half of those alive are used, the index narrows to the others."""
+        free = unused[self.alive]
+        if 2 * np.count_nonzero(free) <= len(free):
+            self.narrow(self.alive[free])
+            free = np.ones(len(self.alive), bool)
+        scores, alive = self.scored(seed), self.alive
+        found, width = np.flatnonzero((scores > LEAST) & free), 32
         while len(found):
             if len(found) > width:
                 # All that are as near as the last of the first ones go along, so that ties stay in order.
@@ -165,7 +197,7 @@ class Index:
                 head, found = found[near], found[~near]
             else:
                 head, found = found, found[:0]
-            yield from head[np.lexsort((head, -scores[head]))].tolist()
+            yield from alive[head[np.lexsort((head, -scores[head]))]].tolist()
             width *= 2
 
 

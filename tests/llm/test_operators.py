@@ -678,8 +678,7 @@ def test_packing_ranks_by_whole_queries(spark, documents, monkeypatch):
     for t, f in often.items():
         idf[t] = np.log1p((n - f + 0.5) / (f + 0.5))
     maps = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in counted]
-    unused = np.arange(n) % 3 > 0
-    for size in (packing.ROWS, 0):
+    for size, unused in ((packing.ROWS, np.arange(n) % 3 > 0), (0, np.arange(n) % 3 > 0), (packing.ROWS, np.arange(n) % 3 == 0)):
         monkeypatch.setattr(packing, "ROWS", size)
         index = packing.Index([], idf, mean, counted)
         for seed in range(0, n, 17):
@@ -689,6 +688,7 @@ def test_packing_ranks_by_whole_queries(spark, documents, monkeypatch):
 
             got = list(index.ranked(seed, unused))
             assert sorted(got) == [d for d in range(n) if unused[d] and maps[d].keys() & maps[seed].keys()]
+            assert len(index.alive) == (n if 2 * unused.sum() > n else unused.sum())
             values = [exact(d) for d in got]
             assert all(a >= b - 1e-3 * max(1.0, b) for a, b in zip(values, values[1:], strict=False))
 
