@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, quantize, records, scales
@@ -12,7 +13,7 @@ from tessera.operators.ordered import numbered
 from tessera.options import PRECISION_BYTES
 from tessera.plans.catalogue import CELL, CELLS, CUST, LINE, PTS, STOPS, order_cells, query, ramp_sql
 from tessera.plans.shapes import las_orders
-from tessera.sources import las, lasformat, xyz
+from tessera.sources import las, lasformat, laz, xyz
 from tessera.sources import points as src
 from tessera.sources.scratch import scratch
 
@@ -303,6 +304,46 @@ def las_by_extension(spark, d):
     return found.agg(F.count("*").alias("n"), F.sum("x").cast("bigint").alias("total"))
 
 
+#: Folders of compressed files that this process has written, by application and tables.
+COMPRESSED: dict[tuple, str] = {}
+
+
+def laz_orders(spark, d):
+    """Orders as compressed files of format 3, in chunks of 2000 points."""
+    key = spark.sparkContext.applicationId, d
+    if key not in COMPRESSED:
+        folder = scratch(spark, "laz")
+        colours = [(F.col("point_id") * k % 65536).cast("int").alias(c) for c, k in (("red", 7), ("green", 7), ("blue", 11))]
+        pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time"), (F.col("point_id") % 5).cast("int").alias("intensity"), *colours)
+        laz.write_laz(pts, folder, src.Quantization((1.0, 0.01, 1.0)), 3, 2000).write.format("noop").mode("overwrite").save()
+        COMPRESSED[key] = folder
+    return COMPRESSED[key]
+
+
+@query(f"WITH {PTS} SELECT point_id, qx, qy, qz, CAST(point_id % 5 AS INTEGER) AS intensity, CAST(point_id * 7 % 65536 AS INTEGER) AS red, CAST(point_id * 7 % 65536 AS INTEGER) AS green, CAST(point_id * 11 % 65536 AS INTEGER) AS blue FROM pts")
+def laz_points(spark, d):
+    """Points of compressed files, decoded chunk by chunk."""
+    got = laz.read_laz(spark, laz_orders(spark, d), ("gps_time", "qx", "qy", "qz", "intensity", "red", "green", "blue"))
+    return got.select(F.col("gps_time").cast("bigint").alias("point_id"), *[F.col(c).cast("bigint").alias(c) for c in ("qx", "qy", "qz")], "intensity", "red", "green", "blue")
+
+
+@query("SELECT o_orderkey AS point_id, CAST(o_custkey AS INTEGER) AS qx FROM orders WHERE o_custkey > 350 AND o_orderkey % 5 = 3")
+def laz_pushed(spark, d):
+    """Points of compressed files by the data source, with filters that it compares itself."""
+    lasformat.register(spark)
+    df = spark.read.format("las").option("fields", "gps_time,qx,intensity").load(laz_orders(spark, d))
+    return df.where("qx > 350 and intensity = 3").select(F.col("gps_time").cast("bigint").alias("point_id"), "qx")
+
+
+@query("SELECT count(*) AS points, 0::BIGINT AS gaps, 0::BIGINT AS longer FROM orders")
+def laz_chunks(spark, d):
+    """The points that the chunk tables of compressed files name; chunks that don't begin where the one before ends, or hold more than 2000 points."""
+    before = Window.partitionBy("path").orderBy("start")
+    found = laz.chunks(spark, laz_orders(spark, d))
+    gap = F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("n")).over(before), F.lit(0))
+    return found.select("n", gap.alias("gap")).agg(F.sum("n").alias("points"), F.count_if("gap").alias("gaps"), F.count_if(F.col("n") > 2000).alias("longer"))
+
+
 @query("SELECT count(*) FILTER (o_orderkey % 2 = 0) AS first_run, count(*) AS both FROM orders")
 def las_file_queue(spark, d):
     """A stream of files: what lies in a folder, then what it has gained."""

@@ -8,7 +8,7 @@ with variable-length records before the points and extended ones behind them.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +118,11 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return out
 
 
-def files(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
-    """(path) of the .las files of a folder, of one file, of a list file, or of several of them."""
+def files(spark: SparkSession, source: str | Sequence[str], names: str = "*.las") -> DataFrame:
+    """(path) of the .las files (or of other names) of a folder, of one file, of a list file, or of several of them."""
     given = [source] if isinstance(source, str) else list(source)
     every = [p for g in given for p in (listed(spark, g) if g.lower().endswith(".lasgroup") else [g])]
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(every).select("path") if every else spark.createDataFrame([], "path string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", names).load(every).select("path") if every else spark.createDataFrame([], "path string")
     return found.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
 
 
@@ -334,13 +334,14 @@ def header_of(rows: np.ndarray, q: Quantization, point_format: int = 1, vlrs: by
     return struct.pack(HEADER_FORMAT, b"LASF", 0, 0, bytes(16), 1, 4, b"", b"tessera", 1, 2000, HEADER_SIZE, start, n_vlrs, point_format, size, *legacy, *q.scale, *q.offset, *box, 0, start + len(rows) * size if n_evlrs else 0, n_evlrs, len(rows), *by_return)
 
 
-def write_las(points: DataFrame, folder: str, quantization: Quantization, point_format: int = 1, vlrs: Sequence[tuple] = (), evlrs: Sequence[tuple] = ()) -> DataFrame:
+def write_las(points: DataFrame, folder: str, quantization: Quantization, point_format: int = 1, vlrs: Sequence[tuple] = (), evlrs: Sequence[tuple] = (), image: Callable[[np.ndarray], Iterator[bytes]] | None = None, suffix: str = ".las") -> DataFrame:
     """Writes points as files of a format, and returns (file, n_points) of each.
 
     qx, qy and qz are needed; other columns with the name of a field of the format are taken, missing ones and nulls are 0
     (options: the first return of one). `vlrs` and `evlrs` are (user_id, record_id, description, data) for every file.
     Writing happens when the result is evaluated, best once. A task's files bear its partition's number and are
-    moved in place when complete, so that a repeated task replaces them. Coordinates beyond 32 bits are an error.
+    moved in place when complete, so that a repeated task replaces them. Coordinates beyond 32 bits are an error. `image`
+    gives a file's bytes in another form, for names that end in `suffix`.
     """
     kinds = dict(RECORDS[point_format])
     given = ["qx", "qy", "qz", *[f for f in kinds if f in points.columns and f not in ("qx", "qy", "qz", "wave")]]
@@ -356,12 +357,10 @@ def write_las(points: DataFrame, folder: str, quantization: Quantization, point_
         def flush() -> pa.RecordBatch:
             nonlocal held, count, number
             rows = np.concatenate(held)
-            name = f"part-{task.partitionId():06d}-{number:04d}.las"
+            name = f"part-{task.partitionId():06d}-{number:04d}{suffix}"
             with fs.open_output_stream(f"{root}/{name}.{task.taskAttemptId()}", compression=None) as f:
-                f.write(header_of(rows, quantization, point_format, before, len(vlrs), len(evlrs)))
-                f.write(before)
-                f.write(rows.tobytes())
-                f.write(behind)
+                for part in image(rows) if image else (header_of(rows, quantization, point_format, before, len(vlrs), len(evlrs)), before, rows.tobytes(), behind):
+                    f.write(part)
             fs.move(f"{root}/{name}.{task.taskAttemptId()}", f"{root}/{name}")
             held, count, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)])], ["file", "n_points"])

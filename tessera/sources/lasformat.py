@@ -6,6 +6,7 @@ in two phases: tasks write files under names of their own, the commit moves them
 file without points whose header is that of all files together and whose extended records hold the table of tiles, with the place
 of each in its file and in the whole set, and the statistics of heights. A stream reads the files that a folder gains; which ones
 it has seen is kept in a log beside its checkpoint, so a restarted query reads none twice.
+Compressed files (.laz) are read in their chunks, which are planned from chunk tables; what is written isn't compressed (laz.write_laz does that).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from tessera.operators import grid
-from tessera.sources import las
+from tessera.sources import las, laz
 from tessera.sources.points import Quantization
 
 #: The record file of a set, and its extended records: tiles, statistics of heights, quantization and density.
@@ -53,14 +54,14 @@ class Written(WriterCommitMessage):
 
 
 def listing(path: str) -> list[tuple[str, int]]:
-    """(uri, modification time in ns) of the .las files of a folder, or of one file, by name; what begins with _ or . isn't data."""
+    """(uri, modification time in ns) of the .las and .laz files of a folder, or of one file, by name; what begins with _ or . isn't data."""
     fs, root = las.filesystem(path)
     info = fs.get_file_info(root)
     found = [info] if info.type == pyarrow.fs.FileType.File else fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
     scheme, _, rest = path.partition("://") if "://" in path else ("file", "", "")
     # Paths of object stores begin with the bucket, others with a slash behind the host.
     uri = lambda p: f"{scheme}://{rest.partition('/')[0]}{p}" if p.startswith("/") else f"{scheme}://{p}"
-    return sorted((uri(f.path), f.mtime_ns or 0) for f in found if f.type == pyarrow.fs.FileType.File and f.base_name.endswith(".las") and f.base_name[0] not in "._")
+    return sorted((uri(f.path), f.mtime_ns or 0) for f in found if f.type == pyarrow.fs.FileType.File and f.base_name.endswith((".las", ".laz")) and f.base_name[0] not in "._")
 
 
 def head_of(path: str) -> dict:
@@ -88,10 +89,13 @@ def set_records(folder: str) -> tuple[list[str], np.ndarray, dict] | None:
 
 def ranges_of(path: str, most: int = las.RANGE) -> list[dict]:
     """All ranges of records at a path; those of a tiled set are whole tiles, cut where they are long."""
-    known = set_records(path) if not path.endswith(".las") else None
+    known = set_records(path) if not path.endswith((".las", ".laz")) else None
     out = []
     if known is None:
         for uri, _ in listing(path):
+            if uri.endswith(".laz"):
+                out += laz.chunks_of(uri)
+                continue
             head = head_of(uri)
             out += [head | {"start": s, "n": min(most, head["n_points"] - s)} for s in range(0, head["n_points"], most)]
         return out
@@ -141,7 +145,7 @@ class LasReader(DataSourceReader):
 
 def decoded(r: dict, fields: list[str], tests: list[tuple] = ()) -> pa.RecordBatch:
     """The fields of the records of a range that pass the tests; a field that is null passes none."""
-    rows = las.record_range(r)
+    rows = laz.chunk_rows(r) if "items" in r else las.record_range(r)
 
     def column(name: str) -> pa.Array:
         return pa.array([r.get(name)] * len(rows), pa.int64()) if name in TILE_FIELDS else las.field_of(name, rows, r)
@@ -384,9 +388,14 @@ def open_las(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("las").load(path)
 
 
+@handles(".laz")
+def open_laz(spark: SparkSession, path: str) -> DataFrame:
+    return laz.read_laz(spark, path)
+
+
 @handles(".lasgroup")
 def open_group(spark: SparkSession, path: str) -> DataFrame:
-    return las.read_las(spark, path)
+    return las.read_las(spark, path).union(laz.read_laz(spark, path))
 
 
 @handles(".xyz", ".txt")

@@ -83,9 +83,9 @@ def test_handlers(spark, points, tmp_path):
     assert lasformat.open_points(spark, f"file://{file}").count() == 5000
     (tmp_path / "all.lasgroup").write_text(f"f/{file.name}\n")
     assert lasformat.open_points(spark, f"file://{tmp_path}/all.lasgroup").count() == 5000
-    assert lasformat.supported() == [".las", ".lasgroup", ".txt", ".xyz"]
+    assert lasformat.supported() == [".las", ".lasgroup", ".laz", ".txt", ".xyz"]
     with pytest.raises(ValueError, match="no handler"):
-        lasformat.open_points(spark, "a.laz")
+        lasformat.open_points(spark, "a.e57")
 
 
 def test_stream_of_files(spark, points, tmp_path):
