@@ -80,10 +80,10 @@ def convex(corners: list[tuple[float, float]]) -> bool:
     return True
 
 
-def byte_size(n: Column) -> Column:
-    """A size in bytes as text, with two decimals from KB on."""
+def byte_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """A size in bytes as text, with two decimals from the first of the units on; what is beyond the last one is told in it."""
     text = F.concat(n.cast("string"), F.lit(" B"))
-    for power, name in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for power, name in enumerate(units, 1):
         text = F.when(n >= 1024**power, F.concat((n / float(1024**power)).cast("decimal(20,2)").cast("string"), F.lit(f" {name}"))).otherwise(text)
     return text
 

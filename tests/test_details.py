@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import options
 from tessera.functions import geometry, records
+from tessera.plans import registered
 from tessera.sources import las, xyz
 
 
@@ -58,3 +59,13 @@ def test_degenerate_triangles_and_intervals(spark):
     assert geometry.convex([(0, 0), (1, 0), (1, 1)]) and not geometry.convex([(0, 0), (1, 1)])
     star = spark.sql("select array(0d, 4d, 1d, 3d, 2d) x, array(0d, 1d, 4d, 0d, 5d) y, array(0d, 2d, 2d, 0d) u, array(0d, 0d, 2d, 2d) v, array(1d) w")
     assert tuple(star.select(geometry.convex_corners(F.col("x"), F.col("y")), geometry.convex_corners(F.col("u"), F.col("v")), geometry.convex_corners(F.col("w"), F.col("w"))).first()) == (False, True, False)
+
+
+def test_sizes_beyond_the_last_unit(spark, tmp_path):
+    """As the SQL of size_text: gigabytes are the last unit, however many there are."""
+    n = F.lit(1025 << 30).cast("long")
+    got = spark.range(1).select(geometry.byte_size(n, ("KB", "MB", "GB")).alias("a"), geometry.byte_size(n).alias("b"), geometry.byte_size(F.lit(7), ("KB",)).alias("c")).first()
+    assert tuple(got) == ("1025.00 GB", "1.00 TB", "7 B")
+    few = spark.createDataFrame([(3_300_000, 333_690, 1.0, None)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp")
+    few.write.parquet(f"{tmp_path}/orders.parquet")
+    assert registered.QUERIES["size_text"](spark, str(tmp_path)).first().size == "1025.54 GB"
