@@ -143,7 +143,8 @@ def tiles_in_z_order(spark, d):
     from tessera.operators.ordered import numbered
 
     placed = grid.density(order_cells(spark, d)).select("tile_row", "tile_col", grid.morton(F.col("tile_row"), F.col("tile_col"), 10).alias("z"))
-    return numbered(placed, ["z"]).select("tile_row", "tile_col", F.col("position").alias("turn"))
+    # Tiles beyond the 1024th row or column share a number with others: a full order, so that results don't vary.
+    return numbered(placed, ["z", "tile_row", "tile_col"]).select("tile_row", "tile_col", F.col("position").alias("turn"))
 
 
 @query(f"WITH {PTS}, m AS (SELECT count(*) / 4000.0::DOUBLE AS s FROM pts), k AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS i, greatest(1.0::DOUBLE, s) AS s FROM pts, m) SELECT point_id FROM k WHERE ceil(i / s) * s < i + 1")
