@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry, quantize, records, scales
 from tessera.operators import delaunay, grid
-from tessera.operators.ordered import numbered
+from tessera.operators.ordered import numbered, running_sums
 from tessera.options import PRECISION_BYTES
 from tessera.plans.catalogue import CELL, CELLS, CUST, LINE, PTS, STOPS, order_cells, query, ramp_sql
 from tessera.plans.shapes import las_orders
@@ -195,9 +195,13 @@ def las_class_bits(spark, d):
 @query("SELECT count(*) AS points, count(*) AS places, 0 AS off FROM orders")
 def las_indexed(spark, d):
     """Each point with the byte at which its record begins: as many places as points, all at whole records behind the header."""
-    got = las.read_las(spark, las_orders(spark, d), ("path", "point_index", "byte_offset"))
-    marked = got.withColumn("off", F.col("byte_offset") - F.col("point_index") * 36)
-    bounds = marked.groupBy("path").agg(F.min("off").alias("low"), F.max("off").alias("high"), F.count_distinct("byte_offset").alias("places"), F.count("*").alias("points"))
+    folder = las_orders(spark, d)
+    got = las.read_las(spark, folder, ("path", "point_index", "byte_offset"))
+    marked = got.select("path", (F.col("byte_offset") - F.col("point_index") * 36).alias("off"), "byte_offset", F.shiftright("byte_offset", 20).alias("part"))
+    # Places are counted by parts of a megabyte, which are dealt to as many tasks as there are points for.
+    n = las.headers(spark, folder).agg(F.sum("n_points")).first()[0] or 0
+    parts = marked.repartition(-(-n // las.RANGE) + 1, "path", "part").groupBy("path", "part").agg(F.min("off").alias("low"), F.max("off").alias("high"), F.count_distinct("byte_offset").alias("places"), F.count("*").alias("points"))
+    bounds = parts.groupBy("path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("places").alias("places"), F.sum("points").alias("points"))
     return bounds.agg(F.sum("points").alias("points"), F.sum("places").alias("places"), F.sum((F.col("low") != F.col("high")).cast("int")).cast("int").alias("off"))
 
 
@@ -250,14 +254,17 @@ def las_preview(spark, d):
 
 @query("SELECT o_orderkey AS point_id, CAST(o_custkey AS INTEGER) AS qx FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i // 512 IN (1, 2, 5)")
 def las_sparse_scan(spark, d):
-    """Three chunks of a file, of which only the ranges of their runs are read."""
+    """Three chunks of a set of files in order, of which only the ranges of their runs are read."""
     folder = scratch(spark, "las-sparse")
-    pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time")).orderBy("gps_time").coalesce(1)
+    pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time")).repartitionByRange("gps_time").sortWithinPartitions("gps_time")
     las.write_las(pts, folder, src.Quantization((1.0, 0.01, 1.0))).write.format("noop").mode("overwrite").save()
     chunks = spark.createDataFrame([(1,), (2,), (5,)], "chunk_id long")
-    ranges = las.files(spark, folder).crossJoin(grid.runs(chunks, "chunk_id")).select("path", (F.col("start") * 512).alias("start"), (F.col("length") * 512).alias("n"))
-    heads = las.headers(spark, folder).select("path", "n_points")
-    inside = ranges.join(heads, "path").where("start < n_points").select("path", "start", F.least("n", F.col("n_points") - F.col("start")).alias("n"))
+    # Files bear the numbers of their tasks, so their names are in the order of points; a run may go on in the next file.
+    files = running_sums(las.headers(spark, folder).select("path", "n_points"), ["path"], {"first": F.col("n_points")})
+    runs = grid.runs(chunks, "chunk_id").select((F.col("start") * 512).alias("low"), ((F.col("start") + F.col("length")) * 512).alias("high"))
+    met = files.join(F.broadcast(runs), (F.col("low") < F.col("first") + F.col("n_points")) & (F.col("high") > F.col("first")))
+    start = F.greatest(F.col("low") - F.col("first"), F.lit(0))
+    inside = met.select("path", start.alias("start"), (F.least(F.col("high") - F.col("first"), F.col("n_points")) - start).alias("n"))
     return las.read_las(spark, folder, ("gps_time", "qx"), inside).select(F.col("gps_time").cast("bigint").alias("point_id"), "qx")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.points import Quantization
+from tessera.sources.scratch import written
 
 #: Records in a range that one call reads, and in a file that one task writes.
 RANGE, FILE = 1 << 18, 1 << 21
@@ -294,6 +295,12 @@ def field_of(name: str, rows: np.ndarray, r: dict) -> pa.Array:
     return pa.array(np.ascontiguousarray(rows[name]).astype(np.float64 if name == "gps_time" else np.int32), kind) if name in have else pa.nulls(n, kind)
 
 
+def dealt(ranges: DataFrame, tasks: int) -> DataFrame:
+    """Ranges (path, start, ...) in so many tasks. The number is given: ranges are few bytes, which adaptive execution would put into one
+    task, however many points they stand for."""
+    return ranges.repartitionByRange(max(tasks, 1), "path", "start")
+
+
 def read_las(spark: SparkSession, source: str | Sequence[str], fields: Sequence[str] = POINTS, points: DataFrame | None = None) -> DataFrame:
     """The points of .las files: the wanted FIELDS, the only ones that are decoded; null where a format lacks one.
 
@@ -307,7 +314,8 @@ def read_las(spark: SparkSession, source: str | Sequence[str], fields: Sequence[
         ranges = heads.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_points") - 1, F.lit(RANGE).cast("bigint")))).withColumn("n", F.least(F.lit(RANGE), F.col("n_points") - F.col("start")))
     else:
         ranges = heads.join(points.select("path", "start", "n"), "path")
-    wanted = ranges.select("path", "point_format", "record_length", "data_offset", "scale", "offset", "start", "n").repartition("path", "start")
+    ranges = written(ranges.select("path", "point_format", "record_length", "data_offset", "scale", "offset", "start", "n"), "ranges")
+    wanted = dealt(ranges, ranges.agg(F.sum(F.ceil(F.col("n") / RANGE))).first()[0] or 0)
     schema = ", ".join(f"{f} {FIELDS[f]}" for f in fields)
     shape = arrow_schema(schema)
 

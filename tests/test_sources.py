@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import registered
 from tessera.sources import las, xyz
 from tessera.sources.points import Quantization
 
@@ -98,3 +99,25 @@ def test_list_files_and_ranges(spark, tmp_path):
     found = las.read_las(spark, both, ("qx", "byte_offset"), some).collect()
     assert sorted((r.qx, r.byte_offset) for r in found) == [(q, 375 + 28 * q) for q in (7, 7, 8, 8)]
     assert {r.line for r in las.preview(spark, both).collect()} == {"LAS 1.4, format 1, 30 points, x 0.00 to 0.29 y 0.00 to 0.00 z 0.00 to 0.00"}
+
+
+def test_runs_of_points_go_on_in_the_next_file(spark, monkeypatch, tmp_path):
+    """Files that are shorter than a run: positions are those in all files, as in the SQL of las_sparse_scan."""
+    n = 4000
+    spark.range(n).selectExpr("id o_orderkey", "id * 7 % 1000 o_custkey", "1.5D o_totalprice", "timestamp'1996-01-02' o_orderdate").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(las, "FILE", 700)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = sorted(map(tuple, registered.QUERIES["las_sparse_scan"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(i, i * 7 % 1000) for i in range(n) if i // 512 in (1, 2, 5)]
+
+
+def test_ranges_are_dealt_to_tasks_by_their_points(spark, monkeypatch, tmp_path):
+    """Adaptive execution doesn't put the ranges of all files into one task."""
+    df = spark.range(8000).selectExpr("id qx", "id qy", "id qz", "double(id) gps_time").repartition(4)
+    las.write_las(df, f"file://{tmp_path}/a", Quantization()).collect()
+    monkeypatch.setattr(las, "RANGE", 500)
+    got = las.read_las(spark, f"file://{tmp_path}/a", ("qx",)).select("qx", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"), F.min("qx")).collect()
+    assert sum(r.n for r in got) == 8000 and len(got) > 8 and max(r.n for r in got) <= 1500
