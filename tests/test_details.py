@@ -68,4 +68,4 @@ def test_sizes_beyond_the_last_unit(spark, tmp_path):
     assert tuple(got) == ("1025.00 GB", "1.00 TB", "7 B")
     few = spark.createDataFrame([(3_300_000, 333_690, 1.0, None)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp")
     few.write.parquet(f"{tmp_path}/orders.parquet")
-    assert registered.QUERIES["size_text"](spark, str(tmp_path)).first().size == "1025.54 GB"
+    assert registered.QUERIES["size_text"](spark, str(tmp_path)).first().size == "1025.55 GB"
