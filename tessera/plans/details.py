@@ -321,7 +321,9 @@ def laz_orders(spark, d):
     if key not in COMPRESSED:
         folder = scratch(spark, "laz")
         colours = [(F.col("point_id") * k % 65536).cast("int").alias(c) for c, k in (("red", 7), ("green", 7), ("blue", 11))]
-        pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time"), (F.col("point_id") % 5).cast("int").alias("intensity"), *colours).repartitionByRange("gps_time")  # coding is costly: many tasks, each with neighbours in time
+        pts = src.orders(spark, d).select("qx", "qy", "qz", F.col("point_id").cast("double").alias("gps_time"), (F.col("point_id") % 5).cast("int").alias("intensity"), *colours)
+        # Coding is costly: many tasks, as points are many and not bytes, each with neighbours in time.
+        pts = pts.repartitionByRange(max(spark.sparkContext.defaultParallelism, -(-pts.count() // laz.CHUNK)), "gps_time")
         laz.write_laz(pts, folder, src.Quantization((1.0, 0.01, 1.0)), 3, 2000).write.format("noop").mode("overwrite").save()
         COMPRESSED[key] = folder
     return COMPRESSED[key]

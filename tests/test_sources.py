@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import registered
-from tessera.sources import las, xyz
+from tessera.sources import las, laz, xyz
 from tessera.sources.points import Quantization
 
 
@@ -121,3 +121,7 @@ def test_ranges_are_dealt_to_tasks_by_their_points(spark, monkeypatch, tmp_path)
     monkeypatch.setattr(las, "RANGE", 500)
     got = las.read_las(spark, f"file://{tmp_path}/a", ("qx",)).select("qx", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"), F.min("qx")).collect()
     assert sum(r.n for r in got) == 8000 and len(got) > 8 and max(r.n for r in got) <= 1500
+    laz.write_laz(df, f"file://{tmp_path}/b", Quantization(), 1, 250).collect()
+    monkeypatch.setattr(laz, "CHUNK", 1000)
+    got = laz.read_laz(spark, f"file://{tmp_path}/b", ("qx",)).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert sum(r["count"] for r in got) == 8000 and len(got) >= 6
