@@ -16,7 +16,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,16 @@ TILE_FIELDS = {"tile_row": "long", "tile_col": "long"}
 TESTS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
 
 
+#: Ranges up to which each has a task of its own.
+MOST = 256
+
+
 @dataclass
 class Range(InputPartition):
-    """A range of records of a file, with what its header says, and the tile it lies in, if known."""
+    """A range of records of a file, with what its header says, and the tile it lies in, if known; further ranges of the file."""
 
     head: dict
+    more: list = field(default_factory=list)
 
 
 @dataclass
@@ -107,6 +112,19 @@ def ranges_of(path: str, most: int = las.RANGE) -> list[dict]:
     return out
 
 
+def dealt(ranges: list[dict]) -> list[Range]:
+    """A task for each range; where they are more than MOST, for a run of ranges of one file with no more points than a usual chunk."""
+    out, points = [], 0
+    for r in ranges:
+        points += r["n"]
+        if len(ranges) > MOST and out and out[-1].head["path"] == r["path"] and points <= laz.CHUNK:
+            out[-1].more.append(r)
+        else:
+            out.append(Range(r))
+            points = r["n"]
+    return out
+
+
 class LasReader(DataSourceReader):
     def __init__(self, path: str, schema: StructType):
         self.path, self.fields, self.tests = path, schema.fieldNames(), []
@@ -136,11 +154,11 @@ class LasReader(DataSourceReader):
         return True
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(r) for r in ranges_of(self.path) if self.possible(r)] or [Range({})]
+        return dealt([r for r in ranges_of(self.path) if self.possible(r)]) or [Range({})]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.head:
-            yield decoded(partition.head, self.fields, self.tests)
+        for r in [partition.head, *partition.more] if partition.head else []:
+            yield decoded(r, self.fields, self.tests)
 
 
 def decoded(r: dict, fields: list[str], tests: list[tuple] = ()) -> pa.RecordBatch:

@@ -130,3 +130,14 @@ def test_what_is_refused(spark, tmp_path):
         laz.write_laz(spark.range(1).selectExpr("0 qx", "0 qy", "0 qz"), f"file://{tmp_path}", Q, 6)
     none = spark.range(0).selectExpr("0 qx", "0 qy", "0 qz")
     assert laz.write_laz(none, f"file://{tmp_path}/empty", Q, 0).count() == 0
+
+
+def test_many_chunks_share_tasks(spark, folder, monkeypatch):
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(lasformat, "MOST", 11)
+    monkeypatch.setattr(laz, "CHUNK", 1000)
+    reader = lasformat.LasReader(folder, StructType.fromDDL("gps_time double, qx int"))
+    parts = reader.partitions()
+    assert len(parts) == 6 and all(sum(r["n"] for r in [p.head, *p.more]) <= 1000 for p in parts)
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == sum(r.n for r in laz.chunks(spark, folder).collect())
