@@ -69,3 +69,16 @@ def test_sizes_beyond_the_last_unit(spark, tmp_path):
     few = spark.createDataFrame([(3_300_000, 333_690, 1.0, None)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp")
     few.write.parquet(f"{tmp_path}/orders.parquet")
     assert registered.QUERIES["size_text"](spark, str(tmp_path)).first().size == "1025.55 GB"
+
+
+def test_z_order_past_ten_bits(spark, tmp_path):
+    """From the 1025th column on tiles share the SQL's number of 10 bits: ties go by row and column, so turns don't vary."""
+    placed = [(row, column) for row in range(3) for column in range(2600) if column % 1024 < 40]
+    rows = [(i, column * 100, row * 50_000.0, None) for i, (row, column) in enumerate(reversed(placed))]
+    orders = spark.createDataFrame([*rows, (10**6, 260_000, 150_000.0, None)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp")
+    orders.repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    number = lambda t: sum((t[1] >> b & 1) << 2 * b | (t[0] >> b & 1) << 2 * b + 1 for b in range(10))
+    want = sorted([*placed, (2, 2599)], key=lambda t: (number(t), t))
+    assert len({number(t) for t in want}) < len(want) / 2
+    got = registered.QUERIES["tiles_in_z_order"](spark, str(tmp_path)).collect()
+    assert [(r.tile_row, r.tile_col) for r in sorted(got, key=lambda r: r.turn)] == want
