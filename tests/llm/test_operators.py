@@ -243,6 +243,18 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_shingle_hashes_equal_plain(documents):
+    """Every shingle of every whole text, repeats included, also of 5 words, which the pipeline takes; on odd blanks and letters too."""
+    rng = random.Random(12)
+    parts = [*"aBZ\0\x1c\x1f\x85\xa0\u3000\u2028éÉİK中🙂.@[", *" \t\n\r\x0b\x0c" * 2]
+    odd = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(2000)]
+    for text in [*odd, *AWKWARD, *[t for _, t in texts(documents)]]:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        for n in (1, 3, 5):
+            grams = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+            assert simhash.shingle_hashes(text or "", n) == [xxhash.xxh64_intdigest(g, 42) for g in grams]
+
+
 def brute_components(fps):
     ids = sorted(fps, key=lambda i: (i is None, i))
     parent = {i: i for i in ids}
